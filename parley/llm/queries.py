@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import language, substring, suffix, toxicity
 from .common import held_out, read
 from .mixing import mix
 from .simhash import simhash_components
@@ -25,6 +25,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.dedup_bytes(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.dedup_words(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,6 +56,8 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_simhash_neardup": op7_simhash_neardup,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
@@ -55,6 +65,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_suffix_array_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(range(0, len(h) // 2 - 199)) AS u(i)),
+        hit AS (SELECT r, i FROM w SEMI JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) USING (s)),
+        mark AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit),
+        run AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM mark),
+        span AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY r, k),
+        gap AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM span),
+        kept AS (
+            SELECT r, count(*) AS n, sum(b - a) AS gone, max(b) AS z, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k
+            FROM gap JOIN d USING (r) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
+    "op5_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+        hit AS (SELECT r, i FROM win SEMI JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) USING (s)),
+        gone AS (SELECT DISTINCT r, i + k AS j FROM hit, unnest(range(0, 35)) AS u(k)),
+        words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+        kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS k FROM words ANTI JOIN gone USING (r, j) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
     "op10_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w

@@ -146,7 +146,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     """
     prints = stage(fingerprints(docs, shingle))
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    roots = components(stage(links(distinct.select("fp"), radius))).withColumnsRenamed({"node": "fp"})
     labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = stage(labelled.join(ids, "root").select("fp", "component_id"))
