@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language, substring, suffix, toxicity
 from .common import held_out, read
+from .decontamination import decontaminate
 from .mixing import mix
 from .simhash import simhash_components
 from .topk import top_k
@@ -25,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.dedup_bytes(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -56,6 +61,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_simhash_neardup": op7_simhash_neardup,
