@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, substring, suffix, toxicity
+from . import language, licenses, substring, suffix, toxicity
 from .common import held_out, read
 from .decontamination import decontaminate
 from .mixing import mix
@@ -38,6 +38,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup_words(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(licenses.document_paths(read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "path", "license", "license_score", "license_from")
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_neardup": op7_simhash_neardup,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
