@@ -82,8 +82,8 @@ def license_lines(files: DataFrame, templates: dict = TEMPLATES, least: float =
     rare = math.log(1 + total) + 1
     idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in known}
     tell = F.array(*map(F.lit, telling(counts, idf, least)))
-    lines = rows.where(F.arrays_overlap(terms(F.col("text")), tell)).distinct().select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "said"))
-    lines = lines.withColumn("terms", terms(F.col("said"))).where(F.arrays_overlap("terms", tell))
+    lines = rows.where(F.arrays_overlap(terms(F.col("text")), tell)).select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "said"))
+    lines = lines.withColumn("terms", terms(F.col("said"))).where(F.arrays_overlap("terms", tell)).distinct()
     each = lines.select("file", "line", F.explode("terms").alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("n"))
     weight = F.create_map(*[F.lit(x) for t in known for x in (t, idf[t])])
     each = each.withColumn("w", F.col("n") * F.coalesce(F.element_at(weight, F.col("term")), F.lit(rare)))
