@@ -15,6 +15,11 @@ from ..config import DEFAULT, Config
 from ..functions.text import is_content, trim
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """The same rows with columns of their own, so that a table can meet one made from it."""
+    return rows.select(*[F.col(c).alias(c) for c in rows.columns])
+
+
 def token_rows(sentences: DataFrame) -> DataFrame:
     return sentences.select("meeting_id", "sent_idx", F.posexplode("tokens").alias("tok_idx", "word"))
 
@@ -87,7 +92,7 @@ def textrank(edges: DataFrame, nodes: DataFrame, config: Config = DEFAULT) -> Da
         return pd.DataFrame({"meeting_id": [key[0]] * len(names), "node": names, "score": [score[n] for n in names]})
 
     schema = f"meeting_id {nodes.schema['meeting_id'].dataType.simpleString()}, node {nodes.schema['node'].dataType.simpleString()}, score double"
-    return nodes.groupBy("meeting_id").cogroup(edges.groupBy("meeting_id")).applyInPandas(run, schema)
+    return nodes.groupBy("meeting_id").cogroup(apart(edges).groupBy("meeting_id")).applyInPandas(run, schema)
 
 
 def min_max(rows: DataFrame, value: str, key: str = "meeting_id") -> DataFrame:
@@ -170,7 +175,7 @@ def summary(sentences: DataFrame, config: Config = DEFAULT) -> DataFrame:
         return pd.DataFrame({"meeting_id": [key[0]] * len(chosen), "sent_idx": [left["sent_idx"][i] for i in chosen], "text": [left["text"][i] for i in chosen], "score": [level[i] for i in chosen], "in_overview": [i in top for i in chosen]})
 
     kind = sentences.schema["meeting_id"].dataType.simpleString()
-    return rows.groupBy("meeting_id").cogroup(sentence_edges(rows).groupBy("meeting_id")).applyInPandas(run, f"meeting_id {kind}, sent_idx int, text string, score double, in_overview boolean")
+    return rows.groupBy("meeting_id").cogroup(apart(sentence_edges(rows)).groupBy("meeting_id")).applyInPandas(run, f"meeting_id {kind}, sent_idx int, text string, score double, in_overview boolean")
 
 
 def block_cosine(sentences: DataFrame, config: Config = DEFAULT) -> DataFrame:

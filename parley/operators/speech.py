@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import signal
 from . import timeline as tl
+from .rank import apart
 
 
 def _each(audio: DataFrame, function, schema: str) -> DataFrame:
@@ -65,7 +66,7 @@ def _with_audio(segments: DataFrame, audio: DataFrame, function, schema: str) ->
             rows = list(function(key[0], int(a["sample_rate"]), np.asarray(a["samples"], np.float64), left.sort_values("seg_idx")))
         return pd.DataFrame(rows, columns=names)
 
-    return segments.groupBy("meeting_id").cogroup(audio.groupBy("meeting_id")).applyInPandas(run, schema)
+    return segments.groupBy("meeting_id").cogroup(apart(audio).groupBy("meeting_id")).applyInPandas(run, schema)
 
 
 def refine(segments: DataFrame, audio: DataFrame, config: Config = DEFAULT) -> DataFrame:
