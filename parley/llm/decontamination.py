@@ -140,7 +140,8 @@ def windows_found(docs: DataFrame, items: DataFrame, size: int, similar: float)
     hits = each.join(known, "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("m", "p")).alias("hits"))
     hits = stage(hits)
     # only texts with hits go on, once each; their shingles are made again rather than carried
-    rows = texts.join(hits, ["t1", "t2"]).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
+    # a merge join at every size: it may split hot texts, and its plan and shuffle grow evenly with the input
+    rows = texts.join(hits.hint("merge"), ["t1", "t2"]).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
     rows = rows.withColumn("hashes", shingles(F.col("text"), size))
     starts = lambda x: F.transform(F.sequence(F.greatest(F.lit(0), x["p"] - x["m"] + 1), x["p"]), lambda s: F.named_struct(F.lit("m"), x["m"], F.lit("start"), s))
     rows = rows.select("t1", "t2", "hashes", F.explode(F.array_distinct(F.flatten(F.transform("hits", starts)))).alias("w"))
