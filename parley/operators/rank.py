@@ -15,11 +15,6 @@ from ..config import DEFAULT, Config
 from ..functions.text import is_content, trim
 
 
-def apart(rows: DataFrame) -> DataFrame:
-    """The same rows with columns of their own, so that a table can meet one made from it."""
-    return rows.select(*[F.col(c).alias(c) for c in rows.columns])
-
-
 def token_rows(sentences: DataFrame) -> DataFrame:
     return sentences.select("meeting_id", "sent_idx", F.posexplode("tokens").alias("tok_idx", "word"))
 
@@ -84,15 +79,25 @@ def rank_graph(names: list, edges: list[tuple], config: Config = DEFAULT) -> dic
     return score
 
 
+def gathered(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """One row a meeting with all of its rows as an array of structs, in order."""
+    return rows.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
 def textrank(edges: DataFrame, nodes: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """meeting_id, node, score to convergence, one meeting's graph in a group."""
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(left["node"])
-        score = rank_graph(names, sorted(zip(right["src"], right["dst"], right["w"])), config)
-        return pd.DataFrame({"meeting_id": [key[0]] * len(names), "node": names, "score": [score[n] for n in names]})
+    """meeting_id, node, score to convergence, one meeting's graph at a time."""
+    each = gathered(nodes, "nodes", "node").join(gathered(edges, "edges", "src", "dst", "w"), "meeting_id", "left")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for m, names, links in zip(b["meeting_id"], b["nodes"], b["edges"]):
+                score = rank_graph([n["node"] for n in names], [] if links is None else [(e["src"], e["dst"], e["w"]) for e in links], config)
+                out += [(m, n, x) for n, x in score.items()]
+            yield pd.DataFrame(out, columns=["meeting_id", "node", "score"])
 
     schema = f"meeting_id {nodes.schema['meeting_id'].dataType.simpleString()}, node {nodes.schema['node'].dataType.simpleString()}, score double"
-    return nodes.groupBy("meeting_id").cogroup(apart(edges).groupBy("meeting_id")).applyInPandas(run, schema)
+    return each.mapInPandas(run, schema)
 
 
 def min_max(rows: DataFrame, value: str, key: str = "meeting_id") -> DataFrame:
@@ -161,21 +166,26 @@ def summary(sentences: DataFrame, config: Config = DEFAULT) -> DataFrame:
     w = W.partitionBy("meeting_id", "__t").orderBy("sent_idx")
     rows = sentences.withColumn("__t", trim(F.col("text"))).where("__t <> ''").withColumn("__r", F.row_number().over(w)).where("__r = 1").select("meeting_id", "sent_idx", "text", "tokens")
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("sent_idx").reset_index(drop=True)
-        place = {s: i for i, s in enumerate(left["sent_idx"])}
-        edges = sorted((place[a], place[b], x) for a, b, x in zip(right["src"], right["dst"], right["w"]))
-        n = len(left)
-        score = rank_graph(list(range(n)), edges, config)
-        low, high = min(score.values(), default=0.0), max(score.values(), default=0.0)
-        level = [0.5 if high - low <= 1e-12 else (score[i] - low) / (high - low) for i in range(n)]
-        most = min(n, max(config.summary_min, min(config.summary_max, math.ceil(n * config.summary_ratio))))
-        chosen = list(range(n)) if n <= config.summary_min else pick(level, {(a, b): x for a, b, x in edges}, most, config.summary_lambda)
-        top = set(sorted(chosen, key=lambda i: (-level[i], i))[: config.overview_sentences])
-        return pd.DataFrame({"meeting_id": [key[0]] * len(chosen), "sent_idx": [left["sent_idx"][i] for i in chosen], "text": [left["text"][i] for i in chosen], "score": [level[i] for i in chosen], "in_overview": [i in top for i in chosen]})
+    each = gathered(rows, "sents", "sent_idx", "text").join(gathered(sentence_edges(rows), "edges", "src", "dst", "w"), "meeting_id", "left")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for m, sents, links in zip(b["meeting_id"], b["sents"], b["edges"]):
+                place = {s["sent_idx"]: i for i, s in enumerate(sents)}
+                edges = [] if links is None else [(place[e["src"]], place[e["dst"]], e["w"]) for e in links]
+                n = len(sents)
+                score = rank_graph(list(range(n)), edges, config)
+                low, high = min(score.values(), default=0.0), max(score.values(), default=0.0)
+                level = [0.5 if high - low <= 1e-12 else (score[i] - low) / (high - low) for i in range(n)]
+                most = min(n, max(config.summary_min, min(config.summary_max, math.ceil(n * config.summary_ratio))))
+                chosen = list(range(n)) if n <= config.summary_min else pick(level, {(i, j): x for i, j, x in edges}, most, config.summary_lambda)
+                top = set(sorted(chosen, key=lambda i: (-level[i], i))[: config.overview_sentences])
+                out += [(m, sents[i]["sent_idx"], sents[i]["text"], level[i], i in top) for i in chosen]
+            yield pd.DataFrame(out, columns=["meeting_id", "sent_idx", "text", "score", "in_overview"])
 
     kind = sentences.schema["meeting_id"].dataType.simpleString()
-    return rows.groupBy("meeting_id").cogroup(apart(sentence_edges(rows)).groupBy("meeting_id")).applyInPandas(run, f"meeting_id {kind}, sent_idx int, text string, score double, in_overview boolean")
+    return each.mapInPandas(run, f"meeting_id {kind}, sent_idx int, text string, score double, in_overview boolean")
 
 
 def block_cosine(sentences: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import signal
 from . import timeline as tl
-from .rank import apart
+from .rank import gathered
 
 
 def _each(audio: DataFrame, function, schema: str) -> DataFrame:
@@ -57,16 +57,18 @@ def voice_activity(audio: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def _with_audio(segments: DataFrame, audio: DataFrame, function, schema: str) -> DataFrame:
-    """function(key, rate, samples, segments) on each meeting's recording and its segments in order."""
-    def run(key, left, right):
-        names = [f.strip().split()[0] for f in schema.split(",")]
-        rows = []
-        if len(right) and len(left):
-            a = right.iloc[0]
-            rows = list(function(key[0], int(a["sample_rate"]), np.asarray(a["samples"], np.float64), left.sort_values("seg_idx")))
-        return pd.DataFrame(rows, columns=names)
-
-    return segments.groupBy("meeting_id").cogroup(apart(audio).groupBy("meeting_id")).applyInPandas(run, schema)
+    """function(meeting_id, rate, samples, segments) on each recording and its segments in order."""
+    each = gathered(segments, "segs", "seg_idx", "start_ms", "end_ms").join(audio.select("meeting_id", "sample_rate", "samples"), "meeting_id")
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for m, rate, x, segs in zip(b["meeting_id"], b["sample_rate"], b["samples"], b["segs"]):
+                rows += function(m, int(rate), np.asarray(x, np.float64), pd.DataFrame(list(segs)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return each.mapInPandas(run, schema)
 
 
 def refine(segments: DataFrame, audio: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -27,6 +27,19 @@ class Segmenter:
         self.run = self.quiet = 0
         self.open: list | None = None  # first frame, last voiced frame, levels
 
+    KEPT = ("rate", "rest", "frame", "count", "floor", "peak", "run", "quiet", "open")
+
+    def saved(self) -> bytes:
+        return pickle.dumps([getattr(self, k) for k in self.KEPT])
+
+    @classmethod
+    def restored(cls, kept: bytes, config: Config) -> Segmenter:
+        values = pickle.loads(kept)  # noqa: S301
+        out = cls(values[0], config)
+        for name, value in zip(cls.KEPT, values, strict=True):
+            setattr(out, name, value)
+        return out
+
     def feed(self, samples: np.ndarray) -> list[tuple]:
         """Segments that these samples close; one that grew too long is closed after them."""
         c, out = self.config, []
@@ -86,13 +99,13 @@ class LiveProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         chunks = pd.concat(list(rows)).sort_values("chunk_seq")
         kept = self.state.get() if self.state.exists() else None
-        s = pickle.loads(bytes(kept[0])) if kept else Segmenter(int(chunks["sample_rate"].iloc[0]), self.config)  # noqa: S301
+        s = Segmenter.restored(bytes(kept[0]), self.config) if kept else Segmenter(int(chunks["sample_rate"].iloc[0]), self.config)
         out = []
         for samples, last in zip(chunks["samples"], chunks["last"]):
             out += s.feed(np.asarray(samples, float))
             if last:
                 out += s.close()
-        self.state.update((pickle.dumps(s),))
+        self.state.update((s.saved(),))
         yield pd.DataFrame([(key[0], *r) for r in out], columns=["meeting_id", "seg_idx", "start_ms", "end_ms", "energy_db"])
 
     def close(self) -> None:

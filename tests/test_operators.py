@@ -67,7 +67,7 @@ def test_speaker_count(spark):
     df = spark.createDataFrame([(m, i, d) for m, ds in data.items() for i, d in enumerate(ds)], "meeting_id string, step int, distance double")
     want = {m: signal.jump_count(d) for m, d in data.items()}
     assert dict(rows(tl.speaker_count(df), "meeting_id", "speakers")) == want
-    assert signal.jump_count([]) == 1 and signal.jump_count([0.1, 0.5, 0.55, 0.6]) == 3 + 0 or True
+    assert signal.jump_count([]) == 1 and want["b"] == 1
 
 
 def test_review(spark):
@@ -80,7 +80,7 @@ def test_rank():
     assert rank.rank_graph([0, 1, 2], []) == {0: pytest.approx(0.15), 1: pytest.approx(0.15), 2: pytest.approx(0.15)}
     s = rank.rank_graph([0, 1, 2], [(0, 1, 1.0), (1, 2, 2.0), (0, 2, 0.5), (1, 1, 9.0)])
     assert s[2] > s[0]
-    assert rank.pick([1.0, 0.99, 0.5], {(0, 1): 1.0}, 2, 0.7) == [0, 2]
+    assert rank.pick([1.0, 0.99, 0.5], {(0, 1): 1.0}, 2, 0.5) == [0, 2]
 
 
 def test_topics_cover_all_sentences(spark):
@@ -144,7 +144,7 @@ def test_stream_equals_whole(spark, tmp_path):
     rowlist = [("m", k, 16000, [float(v) for v in x[i : i + 8000]], i + 8000 >= len(x)) for k, i in enumerate(range(0, len(x), 8000))]
     schema = "meeting_id string, chunk_seq long, sample_rate int, samples array<float>, last boolean"
     for k in (0, 1, 2):
-        spark.createDataFrame(rowlist[k::3] if False else rowlist[k * 4 : (k + 1) * 4 if k < 2 else None], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(rowlist[k * 4 : (k + 1) * 4 if k < 2 else None], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = live.segment_stream(stream, Config(live_exit_frames=30)).writeStream.format("memory").queryName("live_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(180)
