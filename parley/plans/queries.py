@@ -189,13 +189,13 @@ def _textrank_sql(rounds: int) -> str:
     parts = [EDGES, "link AS (SELECT meeting_id, src, dst, w FROM edge UNION ALL SELECT meeting_id, dst, src, w FROM edge)", "p AS (SELECT meeting_id, src, dst, w / sum(w) OVER (PARTITION BY meeting_id, src) AS p FROM link)", "node AS (SELECT DISTINCT meeting_id, word AS node FROM kw)", "s0 AS (SELECT meeting_id, node, 1.0::DOUBLE AS score FROM node)"]
     for i in range(rounds):
         parts.append(f"s{i + 1} AS (SELECT n.meeting_id, n.node, 0.15 + 0.85 * coalesce(g.got, 0) AS score FROM node n LEFT JOIN (SELECT p.meeting_id, p.dst AS node, sum(p.p * s.score) AS got FROM p JOIN s{i} s ON s.meeting_id = p.meeting_id AND s.node = p.src GROUP BY ALL) g ON g.meeting_id = n.meeting_id AND g.node = n.node)")
-    return f"WITH {', '.join(parts)} SELECT meeting_id, node, round(score, 6) AS score FROM s{rounds}"
+    return f"WITH {', '.join(parts)} SELECT meeting_id, node, round(score, 10) AS score FROM s{rounds}"
 
 
 @query(_textrank_sql(3))
 def textrank_words_k(spark, sf_dir):
     nodes = keyword_tokens(spark, sf_dir).select("meeting_id", F.col("word").alias("node")).distinct()
-    return rank.textrank_fixed(nodes, edges(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
+    return rank.textrank_fixed(nodes, edges(spark, sf_dir), 3).withColumn("score", F.round("score", 10))
 
 
 @query()
