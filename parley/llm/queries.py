@@ -79,7 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_suffix_array_dedup": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(range(0, len(h) // 2 - 199)) AS u(i)),
+        l AS (SELECT r, list_transform(range(0, len(h) // 2 - 199), lambda i: md5_number(substr(h, 2 * i + 1, 400))) AS l FROM d),
+        w AS (SELECT r, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS s FROM l),
         hit AS (SELECT r, i FROM w SEMI JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) USING (s)),
         mark AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit),
         run AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM mark),
@@ -95,7 +96,8 @@ ORACLES: dict[str, str] = {
     """,
     "op5_substring_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+        l AS (SELECT r, list_transform(range(1, len(w) - 33), lambda i: md5_number(array_to_string(w[i:i + 34], ' '))) AS l FROM d),
+        win AS (SELECT r, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM l),
         hit AS (SELECT r, i FROM win SEMI JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) USING (s)),
         gone AS (SELECT DISTINCT r, i + k AS j FROM hit, unnest(range(0, 35)) AS u(k)),
         words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
