@@ -23,6 +23,8 @@ from .common import held_out
 SAMPLE = 6000
 #: Buckets of terms, and those of them that tell the classes apart best, which the model keeps.
 BUCKETS, TERMS = 1 << 18, 1024
+#: Least squared deviation from the expected count, over that count: what chance seldom reaches.
+GAIN = 6.0
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 60, 256, 0.02, 0.002
 #: Words whose buckets a process remembers.
 CACHE = 1 << 17
@@ -75,7 +77,7 @@ def train(rows: list[tuple[int, np.ndarray]], seed: int = 42) -> Model:
     expected = with_term * ones / many
     gain = (with_both - expected) ** 2 / (expected + 1) * (with_term >= 3)
     kept = np.sort(np.argsort(-gain, kind="stable")[:TERMS])
-    kept = kept[gain[kept] > 0]
+    kept = kept[gain[kept] >= GAIN]
     place[kept] = np.arange(len(kept))
     rng = np.random.default_rng(seed)
     p = [np.array([base]), np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))]
