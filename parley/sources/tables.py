@@ -16,19 +16,26 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lexicon_entries(spark: SparkSession, path: str, longest: int = 12) -> DataFrame:
-    """word, freq of lines `word<TAB>freq[<TAB>part of speech]`; bad lines go, frequencies from 0 down count as 1."""
+    """word, freq, line_no of lines `word<TAB>freq[<TAB>part of speech]`; bad lines go, frequencies from 0 down count as 1.
+
+    A lexicon is a dictionary of bounded size: each file is read as one row, which keeps its lines' order.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("line not like '#%'")
     parts = F.split("line", "\t")
-    rows = _lines(spark, path).where(F.size(parts) >= 2).select(trim(parts[0]).alias("word"), F.expr("try_cast(trim(split(line, '\t')[1]) as double)").alias("freq"))
-    return rows.where((F.col("word") != "") & F.col("freq").isNotNull() & (F.length("word") <= longest)).withColumn("freq", F.when(F.col("freq") > 0, F.col("freq")).otherwise(1.0))
+    rows = lines.where(F.size(parts) >= 2).select("line_no", parts[0].alias("word"), F.expr("try_cast(trim(split(line, '\t')[1]) as double)").alias("freq"))
+    rows = rows.where((F.col("word") != "") & F.col("freq").isNotNull() & (F.length("word") <= longest))
+    return rows.select("word", F.when(F.col("freq") > 0, F.col("freq")).otherwise(1.0).alias("freq"), "line_no")
 
 
 def lexicon(base: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """word, log_prob over the sum of the base's frequencies; of a word that repeats the most probable entry counts.
+    """word, log_prob over the sum of the base's frequencies.
 
-    The total counts repeated entries each, and extra entries not at all.
+    Of a word that repeats in the base its last line counts, though the sum takes each; an extra entry adds a word or
+    raises its probability, and the sum takes none of them.
     """
-    total = base.agg(F.sum("freq").alias("total"))
-    rows = (base if extra is None else base.unionByName(extra)).crossJoin(F.broadcast(total))  # one row
+    total = base.agg(F.greatest(F.sum("freq"), F.lit(1.0)).alias("total"))
+    rows = base.groupBy("word").agg(F.max_by("freq", "line_no").alias("freq"))
+    rows = (rows if extra is None else rows.unionByName(extra.select("word", "freq"))).crossJoin(F.broadcast(total))  # one row
     return rows.groupBy("word").agg(F.max(F.log("freq") - F.log("total")).alias("log_prob"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 
 import numpy as np
@@ -10,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+HEAD = 1 << 16  # bytes within which headers end
 INFO = "sample_rate int, channels int, bits int, encoding string, n_frames long, error string"
 
 
-def header(raw: bytes) -> dict:
-    """Format and place of the samples; raises ValueError for what is no WAV. A data chunk may be cut short."""
+def header(raw: bytes, length: int | None = None) -> dict:
+    """Format and place of the samples; raises ValueError for what is no WAV. A data chunk may be cut short.
+
+    length is the file's, where raw is only its beginning.
+    """
     if len(raw) < 44 or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     at, fmt = 12, None
@@ -35,7 +40,7 @@ def header(raw: bytes) -> dict:
             if not 1 <= channels <= 32 or not 1 <= rate <= 768000:
                 raise ValueError("channels or rate out of range")
             width = bits // 8 * channels
-            frames = min(size, len(raw) - body) // width
+            frames = max(0, min(size, (length or len(raw)) - body)) // width
             return {"sample_rate": rate, "channels": channels, "bits": bits, "encoding": "pcm" if code == PCM else "float", "n_frames": frames, "at": body}
         at = body + size + size % 2
     raise ValueError("no data chunk")
@@ -101,8 +106,8 @@ class WavReader(DataSourceReader):
     def read(self, partition):
         path = partition.value
         with open(path, "rb") as f:
-            raw = f.read(1 << 16) if self.head_only else f.read()
-        h = header(raw)
+            raw = f.read(HEAD) if self.head_only else f.read()
+        h = header(raw, os.path.getsize(path))
         row = [path, h["sample_rate"], h["channels"], h["bits"], h["encoding"], h["n_frames"]]
         yield tuple(row if self.head_only else [*row, decode(raw, h).tolist()])
 

@@ -166,6 +166,8 @@ def test_wav(spark, tmp_path):
     spark.dataSource.register(wav.WavSource)
     head = spark.read.format("wav").option("paths", str(tmp_path / "a.wav")).option("headOnly", "true").load()
     assert "samples" not in head.columns and head.first().n_frames == len(x)
+    (tmp_path / "long.wav").write_bytes(wav.encode(np.zeros(50000), 16000))
+    assert spark.read.format("wav").option("paths", str(tmp_path / "long.wav")).option("headOnly", "true").load().first().n_frames == 50000
     for code, width, body in ((1, 8, bytes([128, 255])), (1, 24, b"\0\0\x40\0\0\xc0")):
         import struct
 
@@ -207,7 +209,10 @@ def test_tables(spark, tmp_path):
     base = tables.lexicon_entries(spark, str(tmp_path / "lex.txt"))
     assert rows(base, "word", "freq") == [("会", 1.0), ("排期", 2.0), ("排期", 8.0)]
     lex = {r.word: r.log_prob for r in tables.lexicon(base).collect()}
-    assert lex["排期"] == pytest.approx(math.log(8 / 11))
+    assert lex["排期"] == pytest.approx(math.log(2 / 11))  # the last line of a word counts, the sum takes both
+    (tmp_path / "more.txt").write_text("会\t5\n排期\t1\n新词\t11\n")
+    lex = {r.word: r.log_prob for r in tables.lexicon(base, tables.lexicon_entries(spark, str(tmp_path / "more.txt"), 16)).collect()}
+    assert lex == {"排期": pytest.approx(math.log(2 / 11)), "会": pytest.approx(math.log(5 / 11)), "新词": pytest.approx(0)}
     (tmp_path / "stop.txt").write_text("的\n# x\n\n 了 \n")
     assert rows(tables.stopwords(spark, str(tmp_path / "stop.txt")), "word") == [("了",), ("的",)]
     (tmp_path / "t2s.txt").write_text("過\t过\nab\tc\n")
