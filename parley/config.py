@@ -31,6 +31,8 @@ class Config:
     live_exit_frames: int = 60
     live_min_speech_ms: int = 250
     live_max_segment_ms: int = 12000
+    live_margin_ms: int = 3000
+    live_gap_ms: int = 1000
     floor_rise_db: float = 0.15
     peak_fall_db: float = 0.05
     start_db: float = -60.0

@@ -11,8 +11,8 @@ from parley.config import DEFAULT, Config
 from parley.functions import signal
 from parley.operators import extract, rank, speech, timeline as tl
 from parley.plans import pipeline
-from parley.sources import sinks, tables, wav
-from parley.streaming import live
+from parley.sources import sessions, sinks, tables, wav
+from parley.streaming import live, replay
 
 
 def rows(df, *columns):
@@ -154,6 +154,50 @@ def test_stream_equals_whole(spark, tmp_path):
     assert got == want and len(got) == 2
 
 
+def test_replayed_captions(spark, tmp_path):
+    x = clip([(0, 500)] + [(1, 1000), (0, 1000)] * 2, 8000)
+    (tmp_path / "m.wav").write_bytes(wav.encode(x, 8000))
+    x = wav.decode((tmp_path / "m.wav").read_bytes())
+    reader = replay.ReplayReader([str(tmp_path / "m.wav")], 1e9, 100)
+    parts = [r for a, b in ((0, 3), (3, 99)) for p in reader.partitions({"chunk": a}, {"chunk": b}) for r in reader.read(p)]
+    assert np.array_equal(np.concatenate([r[3] for r in parts]).astype(np.float32), x) and [r[1] for r in parts] == list(range(len(parts)))
+    assert [r[4] for r in parts] == [False] * (len(parts) - 1) + [True] and reader.initialOffset() == {"chunk": 0}
+    with pytest.raises(ValueError):
+        reader.partitions({"chunk": 5}, {"chunk": 1})
+    spark.dataSource.register(replay.ReplaySource)
+    chunks = spark.readStream.format("wav_replay").option("paths", str(tmp_path / "m.wav")).option("speed", "1e9").load()
+    said = F.when(F.col("seg_idx") == 0, "[BLANK_AUDIO]").otherwise(F.concat(F.lit("過去百分之三十"), F.size("samples").cast("string")))
+    found = live.captions(live.segment_stream(chunks, Config(live_exit_frames=30), sound=True), lambda s: s.withColumn("text", said), {"過": "过"})
+    q = found.writeStream.format("memory").queryName("captions_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for _ in range(90):
+            q.processAllAvailable()
+            if spark.table("captions_out").count():
+                break
+    finally:
+        q.stop()
+    s = live.Segmenter(8000, Config(live_exit_frames=30), sound=True)
+    want = []
+    for i in range(0, len(x), 800):
+        want += [(r, s.cut(r[1], r[2])) for r in s.feed(x[i : i + 800]) + (s.close() if i + 800 >= len(x) else [])]
+    assert len(want) == 2
+    (_, start, end, _), (at, samples) = want[1]
+    assert at == start - 200 and np.array_equal(samples, x[at * 8 : at * 8 + len(samples)]) and len(samples) <= (end - start + 400) * 8
+    got = spark.table("captions_out").collect()
+    assert [(r.seg_idx, r.start_ms, r.slice_start_ms, list(r.samples)) for r in got] == [(1, start, at, samples.tolist())]
+    assert got[0].text.startswith("过去30%") and got[0].text.endswith("。")
+
+
+def test_live_keeps_bounded_sound():
+    s = live.Segmenter(1000, Config(live_max_segment_ms=500, live_margin_ms=100), sound=True)
+    for i in range(20):
+        s.feed(np.full(100, float(i)))
+        s.forget()
+    assert len(s.heard) == 600 and s.dropped == 1400
+    assert s.cut(0, 1500) == (1400, pytest.approx([14.0] * 100 + [15.0] * 100 + [16.0] * 100))
+    assert len(live.Segmenter.restored(s.saved(), s.config).heard) == 600
+
+
 def test_wav(spark, tmp_path):
     x = speech_like(50)
     for bits in (16, 32):
@@ -202,6 +246,33 @@ def test_reviewed_import_and_sinks(spark, tmp_path):
     assert len(cues) == 2 and cues[0].cue.startswith("1\n00:00:00,000 --> 00:00:03,000\n[甲] ")
     made_files = sinks.write_all(made, segments.withColumn("label", F.lit("甲")), str(tmp_path / "out"), ("markdown", "json", "srt"))
     assert spark.read.json(made_files["json"]).count() == 1
+    made_files = sinks.write_all(made, segments.withColumn("label", F.lit("甲")), str(tmp_path / "files"), ("srt",), files=True)
+    written = list((tmp_path / "files" / "srt").glob("name=*/*.txt"))
+    assert len(written) == 1 and "产品评审会今天开始_2026-09-14" in str(written[0])
+    assert written[0].read_text() == cues[0].cue + "\n" + cues[1].cue + "\n"
+
+
+def test_sessions(spark, tmp_path):
+    store = sessions.Sessions(spark, str(tmp_path / "sessions"))
+    assert store.list().count() == 0 and store.load("x").count() == 0
+    schema = "meeting_id string, title string, meeting_date date, duration_ms long, speaker_labels array<string>, action_items array<string>, low_confidence long, keywords array<struct<rank:int,word:string>>"
+    row = lambda m, t: (m, t, None, 5, ["a", "b"], ["x"], None, [(i, f"w{i}") for i in range(7)])
+    store.save(spark.createDataFrame([row("a/b", "one"), row("c", "two")], schema))
+    store.save(spark.createDataFrame([row("a/b", "three"), row("a/b", "four")], schema))
+    got = {r.id: r for r in store.list().collect()}
+    assert set(got) == {"a_b", "a_b-1", "a_b-2", "c"} and got["c"].keywords == ["w0", "w1", "w2", "w3", "w4"] and got["c"].low_confidence == 0
+    assert [r.id for r in store.list().collect()][:2] == ["a_b-2", "a_b-1"]
+    assert json.loads(store.load("a/b").first().snapshot)["title"] == "one"
+    store.remove("a/b")
+    store.remove("nobody")
+    assert {r.id for r in store.list().collect()} == {"a_b-1", "a_b-2", "c"} and store.load("a_b").count() == 0
+    store.save(spark.createDataFrame([row("a/b", "five")], schema), F.lit("c"))
+    assert {r.id for r in store.list().collect()} == {"a_b-1", "a_b-2", "c", "c-1"}
+    store.save(spark.createDataFrame([row("d-3", "six")], schema))
+    store.save(spark.createDataFrame([row("d", "seven"), row("d", "eight")], schema))
+    assert {r.id for r in store.list().collect()} >= {"d-3", "d", "d-4"}
+    store.clear()
+    assert store.list().count() == 0
 
 
 def test_tables(spark, tmp_path):
