@@ -540,13 +540,19 @@ def agglomerative(spark, sf_dir):
     return cluster(v)
 
 
-@query()
+@query(f"""WITH {EVENTS}, s AS (SELECT meeting_id, frame_idx AS i, CAST(CAST((value - 50) / 500 AS FLOAT) AS DOUBLE) AS x FROM ev),
+    c AS (SELECT *, CASE WHEN (x < 0) <> (lead(x) OVER (PARTITION BY meeting_id ORDER BY i) < 0) THEN 1 ELSE 0 END AS c FROM s),
+    w AS (SELECT meeting_id, i, count(*) OVER f AS n, sqrt(avg(x * x) OVER f) AS rms, sum(c) OVER (PARTITION BY meeting_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) / 25.0 AS zcr FROM c
+        WINDOW f AS (PARTITION BY meeting_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING))
+    SELECT meeting_id, CAST(i // 10 AS INTEGER) AS frame_idx, round(CASE WHEN rms > 1e-5 THEN greatest(20 * log10(rms), -100.0) ELSE -100.0 END, 6) AS rms_db, round(CAST(zcr AS DOUBLE), 6) AS zcr FROM w WHERE n = 25 AND i % 10 = 0
+    UNION ALL SELECT meeting_id, 0, -100.0, 0.0 FROM s GROUP BY meeting_id HAVING count(*) < 25""")
 def frame_levels(spark, sf_dir):
-    """Levels of a user's values as samples of 8 kHz sound."""
+    """Levels of a user's values, less 50, as samples of 1 kHz sound."""
     from ..operators.speech import frame_levels as levels
 
-    audio = events(spark, sf_dir).groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "value"))), lambda x: (x["value"] / 500).cast("float")).alias("samples")).withColumn("sample_rate", F.lit(1000))
-    return levels(audio)
+    x = F.struct("frame_idx", ((F.col("value") - 50) / 500).cast("float").alias("x"))
+    audio = events(spark, sf_dir).groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(x)), lambda s: s["x"]).alias("samples")).withColumn("sample_rate", F.lit(1000))
+    return levels(audio).select("meeting_id", "frame_idx", F.round("rms_db", 6).alias("rms_db"), F.round("zcr", 6).alias("zcr"))
 
 
 # ---- whole minutes
