@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.llm import language, mixing, substring
 from parley.llm.common import read, stage
 from parley.llm.decontamination import clean
-from parley.llm.simhash import simhash_components
+from parley.llm.nearcopies import near_copies, text_node
 
 #: Least share of a document's letters in its language; nothing that one language leads is below.
 LEAST_SHARE = 0.25
@@ -29,10 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows that repeat an id stay once.
 
+    Near copies share 0.8 or more of their 5-word shingles; op7's three words and three bits are its own.
     Documents without an id stay: nothing names their group's first.
     """
-    found = simhash_components(docs)
-    first = stage(found.where("doc_id = component_id").select("doc_id").distinct())
+    rows = docs.withColumn("node", text_node(F.col("text"))).select("doc_id", "node")
+    found = stage(rows.join(near_copies(docs), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
+    first = stage(found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     return docs.where("doc_id is null").unionByName(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
