@@ -70,7 +70,7 @@ def file_of() -> Column:
 def license_lines(files: DataFrame, templates: dict = TEMPLATES, least: float = LEAST) -> DataFrame:
     """path, key, line, license, score, words: the lines of files (path, text) that state a license.
 
-    Statistics are over all files; what the driver gets is one count a term of the templates.
+    Statistics are over all files, of every term of a line; what the driver gets is one count a term of the templates.
     """
     spark = files.sparkSession
     counts = vocabulary(templates)
@@ -79,14 +79,15 @@ def license_lines(files: DataFrame, templates: dict = TEMPLATES, least: float =
     held = rows.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, known)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df = {r.term: r.df for r in held.collect()}
     total = rows.count()
-    rare = math.log(1 + total) + 1
     idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in known}
     tell = F.array(*map(F.lit, telling(counts, idf, least)))
     lines = rows.where(F.arrays_overlap(terms(F.col("text")), tell)).select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "said"))
     lines = lines.withColumn("terms", terms(F.col("said"))).where(F.arrays_overlap("terms", tell)).distinct()
-    each = lines.select("file", "line", F.explode("terms").alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("n"))
-    weight = F.create_map(*[F.lit(x) for t in known for x in (t, idf[t])])
-    each = each.withColumn("w", F.col("n") * F.coalesce(F.element_at(weight, F.col("term")), F.lit(rare)))
+    each = stage(lines.select("file", "line", F.explode("terms").alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("n")))
+    # counts of all terms combine before the shuffle; only those of the lines go on
+    every = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    every = stage(every.join(each.select("term").distinct(), "term", "left_semi"))
+    each = each.join(every, "term").withColumn("w", F.col("n") * (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1))
     norm = {k: math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items())) for k, own in counts.items()}
     forms = spark.createDataFrame([(t, name, i, n * idf[t] / norm[name, i]) for (name, i), own in counts.items() for t, n in own.items()], "term string, license string, form int, v double")
     by = ["file", "line"]

@@ -60,5 +60,12 @@ def test_nearest_directory(spark):
     assert got["long.txt"][0] == "CC-BY-4.0"
 
 
+def test_common_words_weigh_little(spark):
+    """Words that most files hold don't hide a notice, however many files there are."""
+    files = [(f"{i}.txt", f"river stone cloud n{i}") for i in range(400)] + [("x.txt", "Released under the MIT License. river stone cloud")]
+    got = li.license_lines(spark.createDataFrame(files, "path string, text string")).collect()
+    assert [(r.path, r.license) for r in got] == [("x.txt", "MIT")] and got[0].score > 0.9
+
+
 def test_empty_table(spark):
     assert li.scan(spark.createDataFrame([], "path string, text string")).count() == 0
