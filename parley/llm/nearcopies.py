@@ -32,7 +32,7 @@ PLACES = 10
 
 def shingle_set(raw: bytes, powers: Powers, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct runs of `shingle` words, A-Z lower-cased; a shorter text is one run, and no words are one too."""
-    units = word_units(raw.lower(), powers)
+    units = word_units(raw.lower())
     return np.unique(mix(grams(units, 0, min(shingle, len(units)), powers))) if len(units) else np.zeros(1, np.uint64)
 
 

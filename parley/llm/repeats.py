@@ -3,13 +3,16 @@
 Texts are sequences of units, bytes or words. Every window of L units has an anchor: the k-gram in it
 with the least hash, the first of those. Equal windows have equal anchors at equal offsets, and on
 average an anchor serves many windows. A count-min sketch over anchors overestimates how often each
-occurs, so a window whose anchor is estimated once is unique and goes no further. The rest is decided
+occurs, so a window whose anchor is estimated once is unique and goes no further. The sketch is sized by
+the input, so that its load is the same at every size; where it would be too large to send to all tasks,
+the anchors themselves are counted, and the texts joined with those that repeat. The rest is decided
 exactly: stretches of windows meet under their anchor in buckets of fewer than HOT stretches, and
-windows of more frequent anchors meet one by one, each sent once by each task.
+windows of more frequent anchors meet one by one, under 128 bits of their content, each sent once by each task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,14 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import fresh, quoted, shuffle_partitions
 
-#: Counters of a row of the sketch, as a power of 2, its rows, and how many counters travel together.
-SKETCH_BITS, SKETCH_ROWS, BLOCK_BITS = 25, 2, 18
-#: Estimated occurrences from which an anchor's windows are sent one by one.
+#: Rows of the sketch, counters of a row for each anchor expected, and how many counters travel together, as a power of 2.
+SKETCH_ROWS, SPARE, BLOCK_BITS = 2, 4, 18
+#: Most counters of a row, as a power of 2, of a sketch that is sent to all tasks: 2 bits of each, 64 MB in all.
+MOST_BITS = 27
+#: Occurrences from which an anchor's windows are sent one by one.
 HOT = 128
 #: Units that are hashed at once; anchors, or windows, that a task holds before it sends them.
 PIECE, HELD = 1 << 19, 1 << 18
+#: Words whose hashes, and texts whose keys, a process remembers.
+WORDS, SEEN = 1 << 19, 1 << 18
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -65,33 +72,39 @@ def grams(units: np.ndarray, starts: np.ndarray | int, ends: np.ndarray | int, p
     return (total[ends] - total[starts]) * down[starts]
 
 
-def byte_units(raw: bytes, powers: Powers) -> np.ndarray:
+def byte_units(raw: bytes) -> np.ndarray:
     return mix(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1))
 
 
-def word_units(raw: bytes, powers: Powers) -> np.ndarray:
+class Hashes(dict):
+    """XXH3 of each word, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+HASHES = Hashes()
+
+
+def word_units(raw: bytes) -> np.ndarray:
     """A hash of each word of the UTF-8 text; words are set apart by bytes 0x20 and 0x09-0x0D."""
-    b = np.frombuffer(raw, np.uint8)
-    inside = ~((b == 0x20) | ((b >= 0x09) & (b <= 0x0D)))
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    out, at = [], 0
-    while at < len(starts):  # as many words at once as a piece holds, one at least
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + 2 * PIECE)))
-        first = starts[at]
-        part = byte_units(raw[first : ends[stop - 1]], powers)
-        out.append(mix(grams(part, starts[at:stop] - first, ends[at:stop] - first, powers) + (ends - starts)[at:stop].astype(np.uint64)))
-        at = stop
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    words = raw.split()
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What repeats: windows of `window` units with anchors of `gram`; how to make units, cut a stretch, and decide a bucket."""
+    """What repeats: windows of `window` units, of `size` bytes about, with anchors of `gram`; how to make units, cut a stretch, and decide a bucket."""
 
     window: int
     gram: int
-    units: Callable[[bytes, Powers], np.ndarray]
+    size: int
+    units: Callable[[bytes], np.ndarray]
     cut: Callable[[bytes], Callable[[int, int], bytes]]
     bucket: Callable[[list[tuple[int, bytes, int]], int], list[tuple[int, int, int]]]
 
@@ -120,36 +133,43 @@ def anchors(units: np.ndarray, kind: Kind, powers: Powers) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def slots(h: np.ndarray, row: int) -> np.ndarray:
+def slots(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     """A counter of a row of the sketch for each hash."""
-    return ((h * ODD[row]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return ((h * ODD[row]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sketch_bits(texts: DataFrame, kind: Kind) -> int:
+    """Counters of a row of the sketch of texts (text), as a power of 2: SPARE for each anchor that texts of so many bytes have, about."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(BLOCK_BITS, math.ceil(math.log2(max(1, SPARE * 2 * size / kind.size / (kind.window - kind.gram + 2)))))
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """Bits for each row and counter: counted twice or more, and HOT times or more."""
+    """2 ** bits counters a row, and for each a bit: counted twice or more, and HOT times or more."""
 
+    bits: int
     twice: np.ndarray
     hot: np.ndarray
 
     def at_least(self, bits: np.ndarray, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
         for row in range(SKETCH_ROWS):
-            s = slots(h, row)
+            s = slots(h, row, self.bits)
             out &= (bits[row, s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
         return out
 
 
-def sketch(texts: DataFrame, kind: Kind) -> Sketch:
+def sketch(texts: DataFrame, kind: Kind, bits: int) -> Sketch:
     """The merged sketch of all anchors of texts (text). Tasks send the counters that they touched;
-    blocks of counters are summed apart, and only two bits of each reach the driver: a fixed size."""
+    blocks of counters are summed apart, and only two bits of each reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, size = Powers(int(ODD[0])), [], 0
         for b in batches:
             for t in b.column("text"):
                 if t.is_valid and len(raw := t.as_buffer().to_pybytes()) >= kind.window:
-                    held.append(anchors(kind.units(raw, powers), kind, powers)[1])
+                    held.append(anchors(kind.units(raw), kind, powers)[1])
                     size += len(held[-1])
                     if size >= HELD:
                         yield from send(held)
@@ -161,7 +181,7 @@ def sketch(texts: DataFrame, kind: Kind) -> Sketch:
             return
         h, rows = np.concatenate(held), []
         for row in range(SKETCH_ROWS):
-            at, n = np.unique(slots(h, row), return_counts=True)
+            at, n = np.unique(slots(h, row, bits), return_counts=True)
             block = at >> BLOCK_BITS
             cuts = np.flatnonzero(np.diff(block)) + 1
             for own, many in zip(np.split(at, cuts), np.split(np.minimum(n, 255).astype(np.uint8), cuts), strict=True):
@@ -182,14 +202,36 @@ def sketch(texts: DataFrame, kind: Kind) -> Sketch:
 
     counted = texts.select("text").mapInArrow(count, "row int, block int, at binary, n binary")
     merged = counted.repartition(shuffle_partitions(texts.sparkSession), "row", "block").mapInArrow(merge, "row int, block int, twice binary, hot binary")
-    out = Sketch(*(np.zeros((SKETCH_ROWS, 1 << (SKETCH_BITS - 3)), np.uint8) for _ in range(2)))
+    out = Sketch(bits, *(np.zeros((SKETCH_ROWS, 1 << (bits - 3)), np.uint8) for _ in range(2)))
     width = 1 << (BLOCK_BITS - 3)
-    for r in merged.collect():
-        for bits, own in ((out.twice, r.twice), (out.hot, r.hot)):
-            bits[r.row, r.block * width : (r.block + 1) * width] = np.frombuffer(own, np.uint8)
+    for r in merged.toLocalIterator():
+        for flags, own in ((out.twice, r.twice), (out.hot, r.hot)):
+            flags[r.row, r.block * width : (r.block + 1) * width] = np.frombuffer(own, np.uint8)
     return out
 
 
+def with_counts(rows: DataFrame, kind: Kind) -> DataFrame:
+    """The rows (text, t1, t2) whose anchors repeat, with `marks`: the position of each such anchor, and whether it occurs HOT times.
+
+    Counts combine before the shuffle, and both joins may split hot keys; nothing is sent to all tasks.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(int(ODD[0]))
+        for b in batches:
+            for t, a1, a2 in zip(b.column("text"), b.column("t1").to_pylist(), b.column("t2").to_pylist(), strict=True):
+                if len(raw := t.as_buffer().to_pybytes()) >= kind.window:
+                    pos, h, _, _ = anchors(kind.units(raw), kind, powers)
+                    for at in range(0, len(h), HELD):
+                        own, place = h[at : at + HELD], pos[at : at + HELD]
+                        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), a1)), pa.array(np.full(len(own), a2)), pa.array(place.astype(np.int32))], ["h", "t1", "t2", "at"])
+
+    places = rows.mapInArrow(each, "h long, t1 long, t2 long, at int")
+    counts = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    marks = places.join(counts.hint("merge"), "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("at", (F.col("n") >= HOT).alias("often"))).alias("marks"))
+    return rows.join(marks.hint("merge"), ["t1", "t2"])
+
+
 def text_key(text: Column) -> tuple[Column, Column]:
     """128 bits that stand for a whole text."""
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
@@ -201,43 +243,55 @@ FIELDS = "k1 long, k2 long, lead int, stretch binary, t1 long, t2 long, start in
 def repeated_spans(texts: DataFrame, kind: Kind) -> DataFrame:
     """t1, t2 (the text's key), copies, spans: array of [start, stop) in units that repeated windows cover.
 
-    Spans may overlap. Texts without any and with one copy are left out; of a text with several copies
-    every window repeats, whatever its spans.
+    Spans may overlap. Texts without any and with one copy are left out; a text with several copies has no
+    spans, as every window of it repeats.
     """
     spark = texts.sparkSession
     t1, t2 = text_key(F.col("text"))
     rows = texts.where("text is not null").select("text", t1.alias("t1"), t2.alias("t2"))
-    sent = spark.sparkContext.broadcast(sketch(texts, kind))
+    bits = sketch_bits(texts, kind)
+    sent = spark.sparkContext.broadcast(sketch(texts, kind, bits)) if bits <= MOST_BITS else None
+
+    def marked(h: np.ndarray, pos: np.ndarray, marks: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """Which anchors repeat, as far as is known, and which of them are hot."""
+        if sent is not None:
+            s = sent.value
+            maybe = s.at_least(s.twice, h)
+            return maybe, maybe & s.at_least(s.hot, h)
+        return np.isin(pos, [m["at"] for m in marks]), np.isin(pos, [m["at"] for m in marks if m["often"]])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, powers, other, seen = sent.value, Powers(int(ODD[0])), Powers(int(ODD[2])), set()
-        cold, hot, size = [], [], 0
+        import xxhash
+
+        digest, powers, seen = xxhash.xxh3_128_digest, Powers(int(ODD[0])), set()
+        cold, hot, size, many = [], [], 0, 0
         for b in batches:
-            for t, a1, a2 in zip(b.column("text"), b.column("t1").to_pylist(), b.column("t2").to_pylist(), strict=True):
+            marks = b.column("marks").to_pylist() if sent is None else [None] * b.num_rows
+            for t, a1, a2, own in zip(b.column("text"), b.column("t1").to_pylist(), b.column("t2").to_pylist(), marks, strict=True):
                 if (a1, a2) in seen or len(raw := t.as_buffer().to_pybytes()) < kind.window:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()  # a text that is sent again repeats anyway
                 seen.add((a1, a2))
-                units = kind.units(raw, powers)
-                pos, h, first, last = anchors(units, kind, powers)
-                maybe = s.at_least(s.twice, h)
-                often = maybe & s.at_least(s.hot, h)
+                pos, h, first, last = anchors(kind.units(raw), kind, powers)
+                maybe, often = marked(h, pos, own)
+                if not maybe.any():
+                    continue
                 cut = kind.cut(raw)
                 for i in np.flatnonzero(maybe & ~often).tolist():
                     start, stop = int(first[i]), int(last[i]) + kind.window
                     cold.append((int(h[i].view(np.int64)), 0, int(pos[i]) - start, cut(start, stop), a1, a2, start, stop))
                     size += len(cold[-1][3])
-                if often.any():
-                    runs = np.concatenate([np.arange(a, z + 1) for a, z in zip(first[often], last[often], strict=True)])
-                    # long texts are hashed whole here: their windows' hashes need one origin
-                    for at in range(0, len(runs), PIECE):
-                        own = runs[at : at + PIECE]
-                        hot.append((*window_hashes(units, own, kind.window, powers, other), np.full(len(own), a1), np.full(len(own), a2), own))
-                if size >= 8 * PIECE:
-                    yield batch(cold)
-                    cold, size = [], 0
-                if sum(len(x[0]) for x in hot) >= HELD:
-                    yield from once(hot, kind.window)
-                    hot = []
+                    if size >= 8 * PIECE:
+                        yield batch(cold)
+                        cold, size = [], 0
+                for a, z in zip(first[often].tolist(), last[often].tolist(), strict=True):
+                    keys = np.frombuffer(b"".join([digest(cut(i, i + kind.window)) for i in range(a, z + 1)]), np.int64).reshape(-1, 2)
+                    hot.append((keys[:, 0], keys[:, 1], np.full(len(keys), a1), np.full(len(keys), a2), np.arange(a, z + 1)))
+                    many += len(keys)
+                    if many >= HELD:
+                        yield from once(hot, kind.window)
+                        hot, many = [], 0
         yield batch(cold)
         yield from once(hot, kind.window)
 
@@ -247,25 +301,12 @@ def repeated_spans(texts: DataFrame, kind: Kind) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.int32()) for i in range(4)], ["t1", "t2", "start", "stop"])
 
-    met = rows.mapInArrow(candidates, FIELDS).repartition(shuffle_partitions(spark), "k1", "k2").sortWithinPartitions("k1", "k2", "t1", "t2", "start")
+    met = (rows if sent is not None else with_counts(rows, kind)).mapInArrow(candidates, FIELDS).repartition(shuffle_partitions(spark), "k1", "k2").sortWithinPartitions("k1", "k2", "t1", "t2", "start")
     spans = met.mapInArrow(decide, "t1 long, t2 long, start int, stop int")
     spans = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies")).where("copies > 1")
     found = copies.join(spans, ["t1", "t2"], "full_outer")
-    return found.select("t1", "t2", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("spans", F.array()).alias("spans"))
-
-
-def window_hashes(units: np.ndarray, starts: np.ndarray, window: int, powers: Powers, other: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each window, from pieces with an origin of their own."""
-    a, b = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        origin = int(starts[at])
-        stop = int(np.searchsorted(starts, origin + PIECE)) if starts[-1] >= origin + PIECE else len(starts)
-        part, own = units[origin : int(starts[stop - 1]) + window], starts[at:stop] - origin
-        a[at:stop], b[at:stop] = mix(grams(part, own, own + window, powers) + ODD[0]), mix(grams(part, own, own + window, other) + ODD[1])
-        at = stop
-    return a.view(np.int64), b.view(np.int64)
+    return found.select("t1", "t2", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("copies").isNull(), F.col("spans")).alias("spans"))
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -385,8 +426,11 @@ def merged(spans: list, n: int, whole: bool, window: int) -> list[tuple[int, int
     return [(a, b) for a, b in out]
 
 
-def with_spans(docs: DataFrame, kind: Kind) -> DataFrame:
-    """docs with __copies and __spans of each row's text; the text's key finds them, and hot keys may be split."""
+def with_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, str, str]:
+    """docs with the copies and spans of each row's text, and the names of these columns; the text's key finds them, and hot keys may be split."""
     t1, t2 = text_key(F.col("text"))
-    spans = repeated_spans(docs.select("text"), kind).toDF("__t1", "__t2", "__copies", "__spans")
-    return docs.withColumn("__k1", t1).withColumn("__k2", t2).join(spans, (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2")), "left").drop("__t1", "__t2", "__k1", "__k2")
+    names = [fresh(docs, n) for n in ("own1", "own2", "key1", "key2", "copies", "spans")]
+    k1, k2, *found = names
+    spans = repeated_spans(docs.select("text"), kind).toDF(*found)
+    rows = docs.withColumns({k1: t1, k2: t2}).join(spans, (F.col(k1) == F.col(found[0])) & (F.col(k2) == F.col(found[1])), "left")
+    return rows.select(*[quoted(c) for c in docs.columns], *found[2:]), found[2], found[3]

@@ -8,12 +8,14 @@ same words are grouped exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted
 from .repeats import Kind, merged, with_spans, word_units
 
 #: Words of a window, and of the anchors within it.
@@ -21,15 +23,10 @@ WINDOW, GRAM = 35, 12
 
 
 def cut_words(raw: bytes):
-    """The words from start to stop with single spaces; the text is split once, when first needed."""
-    words: list[bytes] = []
-
-    def cut(start: int, stop: int) -> bytes:
-        if not words:
-            words.extend(raw.split())  # on the ASCII white space 0x20, 0x09-0x0D
-        return b" ".join(words[start:stop])
-
-    return cut
+    """The words from start to stop with single spaces."""
+    words = raw.split()  # on the ASCII white space 0x20, 0x09-0x0D
+    joined, ends = b" ".join(words), list(accumulate((len(w) + 1 for w in words), initial=0))
+    return lambda start, stop: joined[ends[start] : ends[stop] - 1]
 
 
 def equal_windows(items: list[tuple[int, bytes, int]], window: int) -> list[tuple[int, int, int]]:
@@ -69,7 +66,7 @@ def equal_windows(items: list[tuple[int, bytes, int]], window: int) -> list[tupl
 
 
 def kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind(window, gram, word_units, cut_words, equal_windows)
+    return Kind(window, gram, 5, word_units, cut_words, equal_windows)
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -82,13 +79,13 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     own = ("n_words", "n_removed", "removed", "kept")
     keep = [c for c in docs.columns if c.lower() not in own]
-    rows = with_spans(docs.select(*keep), kind(window, max(1, window // 3)))
+    rows, copied, covered = with_spans(docs.select(*map(quoted, keep)), kind(window, max(1, window // 3)))
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, cut, runs, kept = [], [], [], []
-            for t, copies, spans in zip(b.column("text"), b.column("__copies").to_pylist(), b.column("__spans").to_pylist(), strict=True):
+            for t, copies, spans in zip(b.column("text"), b.column(copied).to_pylist(), b.column(covered).to_pylist(), strict=True):
                 words = t.as_buffer().to_pybytes().split() if t.is_valid else []
                 gone = merged(spans, len(words), (copies or 1) > 1, window)
                 n.append(len(words))
@@ -99,8 +96,8 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()).cast(pa.string())], [*keep, *own])
 
     pair = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", pair), T.StructField("kept", T.StringType())])
-    return rows.select(*keep, "__copies", "__spans").mapInArrow(run, schema)
+    schema = T.StructType([*docs.select(*map(quoted, keep)).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", pair), T.StructField("kept", T.StringType())])
+    return rows.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

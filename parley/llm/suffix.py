@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted
 from .repeats import Kind, byte_units, merged, with_spans
 
 #: Bytes of a repeated string, and of the anchors within it.
@@ -70,7 +71,7 @@ def cut_bytes(raw: bytes):
 
 
 def kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind(window, gram, byte_units, cut_bytes, anchored_repeats)
+    return Kind(window, gram, 1, byte_units, cut_bytes, anchored_repeats)
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -83,13 +84,13 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     own = ("n_bytes", "n_removed", "removed", "kept")
     keep = [c for c in docs.columns if c.lower() not in own]
-    rows = with_spans(docs.select(*keep), kind(window, window // 4))
+    rows, copied, covered = with_spans(docs.select(*map(quoted, keep)), kind(window, window // 4))
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, cut, runs, kept = [], [], [], []
-            for t, copies, spans in zip(b.column("text"), b.column("__copies").to_pylist(), b.column("__spans").to_pylist(), strict=True):
+            for t, copies, spans in zip(b.column("text"), b.column(copied).to_pylist(), b.column(covered).to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 gone = merged(spans, len(raw), (copies or 1) > 1, window)
                 n.append(len(raw))
@@ -100,8 +101,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], [*keep, *own])
 
     pair = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", pair), T.StructField("kept", T.BinaryType())])
-    return rows.select(*keep, "__copies", "__spans").mapInArrow(run, schema)
+    schema = T.StructType([*docs.select(*map(quoted, keep)).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", pair), T.StructField("kept", T.BinaryType())])
+    return rows.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

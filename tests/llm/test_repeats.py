@@ -45,10 +45,12 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("hot,held,piece", [(128, 1 << 18, 1 << 19), (3, 40, 97), (2, 1 << 18, 1 << 19)])
+@pytest.mark.parametrize("hot,held,piece,most", [(128, 1 << 18, 1 << 19, 27), (3, 40, 97, 27), (2, 1 << 18, 1 << 19, 27), (128, 1 << 18, 1 << 19, 0), (3, 40, 97, 0)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, monkeypatch, hot, held, piece, seed):
+def test_equals_brute_force(spark, monkeypatch, hot, held, piece, most, seed):
+    """Whatever counts as hot, and whether the sketch is sent (most 27) or anchors are counted (most 0)."""
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "MOST_BITS", most)
     monkeypatch.setattr(repeats, "HELD", held)
     monkeypatch.setattr(repeats, "PIECE", piece)
     texts = corpus(seed)
@@ -73,3 +75,45 @@ def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(r.n_removed for r in substring.dedup_words(docs, 3).collect()) == [0, 6, 6]
     assert suffix.dedup_bytes(docs.limit(0)).count() == 0
+
+
+def test_a_full_sketch_changes_nothing(spark, monkeypatch):
+    """Counters that all count twice send every window, and decide nothing."""
+    docs = spark.createDataFrame(list(enumerate(corpus(3))), "doc_id long, text string")
+    whole = [sorted(map(tuple, f.collect())) for f in (suffix.digest(suffix.dedup_bytes(docs, 40)), substring.digest(substring.dedup_words(docs, 9)))]
+    monkeypatch.setattr(repeats.Sketch, "at_least", lambda self, bits, h: repeats.np.full(len(h), bits is self.twice))
+    assert [sorted(map(tuple, f.collect())) for f in (suffix.digest(suffix.dedup_bytes(docs, 40)), substring.digest(substring.dedup_words(docs, 9)))] == whole
+
+
+@pytest.mark.parametrize("hot", [128, 2])
+def test_words_that_polynomials_confuse_are_told_apart(spark, monkeypatch, hot):
+    """A Thue-Morse word of 1024 letters and its mirror have one hash under any polynomial modulo 2**64."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    morse = [i.bit_count() & 1 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in morse) for flip in (0, 1))
+    words = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*words, one]), " ".join([*words, other]), *(" ".join([*words[5:], f"x{i}"]) for i in range(180))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in substring.dedup_words(docs).collect()} == {0}
+
+
+def test_other_columns_keep_their_names_and_values(spark):
+    names = ["__copies", "__k1", "__t1", "copies", "spans", "own1", "key1", "N_Words"]
+    rows = [(i, "a b c d e f" if i < 2 else "x", *(f"{n}{i}" for n in names)) for i in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for f, removed in ((substring.dedup_words, 6), (suffix.dedup_bytes, 11)):
+        got = sorted(f(docs, 3).collect(), key=lambda r: r["doc_id"])
+        assert [r["n_removed"] for r in got] == [removed, removed, 0]
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names[:-1])
+    assert "N_Words" not in substring.dedup_words(docs, 3).columns and "N_Words" in suffix.dedup_bytes(docs, 3).columns
+
+
+def test_very_long_texts(spark):
+    """Texts of many pieces: one passage at both ends of each, and nothing else repeats."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randrange(10**9)}" for _ in range(40))
+    body = [" ".join(f"{i}w{rng.randrange(10**9)}" for _ in range(120000)) for i in range(2)]
+    docs = spark.createDataFrame([(i, f"{passage} {b} {passage}") for i, b in enumerate(body)], "doc_id long, text string")
+    assert [(r.n_words, r.n_removed) for r in substring.dedup_words(docs).orderBy("doc_id").collect()] == [(120080, 80)] * 2
+    got = suffix.digest(suffix.dedup_bytes(docs)).collect()
+    assert all(2 * len(passage) <= r.n_removed <= 2 * len(passage) + 6 and r.n_spans == 2 for r in got)
