@@ -32,7 +32,7 @@ HOT = 128
 #: Units that are hashed at once; anchors, or windows, that a task holds before it sends them.
 PIECE, HELD = 1 << 19, 1 << 18
 #: Words whose hashes, and texts whose keys, a process remembers.
-WORDS, SEEN = 1 << 19, 1 << 18
+WORDS, SEEN = 1 << 18, 1 << 18
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 

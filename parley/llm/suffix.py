@@ -84,7 +84,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     own = ("n_bytes", "n_removed", "removed", "kept")
     keep = [c for c in docs.columns if c.lower() not in own]
-    rows, copied, covered = with_spans(docs.select(*map(quoted, keep)), kind(window, window // 4))
+    rows, copied, covered = with_spans(docs.select(*map(quoted, keep)), kind(window, max(1, window // 4)))
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
