@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import toxicity
@@ -38,3 +40,32 @@ def test_one_class_and_empty_tables(spark):
     model = toxicity.fit(docs.limit(0), labels)
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert {r.score for r in toxicity.score(docs.limit(5), model).collect()} == {0.5}
+
+
+@pytest.mark.parametrize("rule", ["both", "one"])
+def test_words_that_tell_only_in_pairs(spark, rule):
+    """Labels that neither word shows alone: toxic with both or neither (or with just one), among other words."""
+    rng = random.Random(8)
+    docs, labels, want = [], [], {}
+    for i in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        ws = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(20)] + ["insult"] * a + ["group"] * b
+        rng.shuffle(ws)
+        want[i] = int((a == b) == (rule == "both"))
+        docs.append((i, " ".join(ws)))
+        labels.append((i, want[i]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(frame, model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] == bool(want[i]) for i in held) >= 0.9 * len(held)
+
+
+def test_very_long_texts(spark):
+    """One word decides, wherever it lies in a text of a million words."""
+    long = "word " * 10**6
+    rows = [(i, f"some plain text {i} " + "scum " * (i % 2)) for i in range(200)] + [(1000, long + "scum"), (1001, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).where("doc_id >= 1000").collect()}
+    assert got[1000] > 0.5 > got[1001]
