@@ -1,10 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Texts of similarity 0.8 differ in some 9 or 10 bits of a 64-bit SimHash fingerprint, a radius at which no
-index of such fingerprints is selective. Candidates come from a prefix filter, which loses none: under one
-order of all shingles, two sets that are similar enough share one of the first shingles of each. The order
-puts shingles first that a bounded sample holds seldom; it decides how many candidates there are, not which
-pairs are found. The exact similarity of the sets decides.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles.
+
+Fingerprints of 5-word shingles meet under their deletion-variant signatures, and the exact similarity of
+the sets verifies what they find. Texts of similarity 0.8 differ in some 9 or 10 of 64 bits, though, a radius
+at which no index of such fingerprints is selective. The rest comes from a prefix filter, which loses none:
+under one order of all shingles, two sets that are similar enough share one of the first shingles of each.
+The order puts shingles first that a bounded sample holds seldom; it decides how many candidates there are,
+not which pairs are found.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage
+from .common import fresh, quoted, shuffle_partitions, stage
 from .components import components
 from .repeats import ODD, Powers, grams, mix, word_units
+from .simhash import links, majority
 
 #: Words of a shingle; near copies have a similarity of NUM / DEN at least.
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -196,15 +198,37 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """node, root of each distinct text of docs (text) that has a near copy; root is the least node that links reach.
 
-    Links join sets of 5-word shingles with a Jaccard similarity of 0.8 or more; none is missed. Neighbours in
-    size are compared first, and then only pairs that are not joined yet: a dense group never meets all pairs.
+    Links join sets of 5-word shingles with a Jaccard similarity of 0.8 or more; none is missed. What SimHash links,
+    and neighbours in size, are compared first, and then only pairs that are not joined yet: a dense group never
+    meets all pairs.
     """
     texts = docs.select(text_node(F.col("text")).alias("node"), "text")
     shared = stage(shared_prefixes(texts))
     nodes = stage(shared.select("node").distinct())
-    bits = sets_of(texts.join(nodes, "node", "left_semi"), "node long, bits array<long>, n int", lambda node, s: (np.array([node]), [parities(s)], np.array([len(s)], np.int32)))
-    bits = stage(bits.dropDuplicates(["node"]))
-    tried = stage(shared.where("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct())
+    shape = lambda node, s: (np.array([node]), [parities(s)], np.array([len(s)], np.int32), np.array([majority(s)], np.uint64).view(np.int64))
+    known = stage(sets_of(texts.join(nodes, "node", "left_semi"), "node long, bits array<long>, n int, fp long", shape).dropDuplicates(["node"]))
+    bits = known.select("node", "bits", "n")
+    prints = stage(known.groupBy("fp").agg(F.min("node").alias("first")))
+    alike = known.join(prints, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    close = links(prints.select("fp")).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    beside = shared.where("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
+    tried = stage(alike.union(close).union(beside).distinct())
     edges = similar(may_be_similar(tried, bits), texts)
     rest = apart(shared, components(edges), bits).join(tried, ["a", "b"], "left_anti")
     return components(edges.union(similar(rest, texts)))
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and others) but for near copies: of each group one row stays, of the smallest id.
+
+    Groups are what near_copies links; a null or empty text is a text like any other. Ids needn't tell rows apart:
+    among rows of that id the text with the least key counts, null ids come last, and of rows alike in id and text the
+    one with the least hash of all columns stays. Other columns stay as they are, whatever their names; no rows give no rows.
+    """
+    node, key, text = fresh(docs, "node"), fresh(docs, "key"), text_node(F.col("text"))
+    values = [quoted(c).cast("string") for c in docs.columns]
+    rows = docs.withColumns({node: text, key: F.xxhash64(*values, *[v.isNull() for v in values])})
+    light = rows.select("doc_id", F.col(node).alias("node"), F.col(key).alias("key")).join(near_copies(docs), "node", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "node", "key")
+    first = stage(light.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("f")).select(F.col("f.node").alias(node), F.col("f.key").alias(key)))
+    return rows.join(first, [node, key]).dropDuplicates([node, key]).select(*map(quoted, docs.columns))

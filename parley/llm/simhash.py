@@ -25,6 +25,14 @@ DIRECT = 2048
 CHUNK = 1 << 15
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        votes += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The majority of the bits of the XXH64 of each shingle; A-Z lower-cased, no words: 0."""
     import xxhash
@@ -35,12 +43,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    spans = list(zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True))
-    for at in range(0, n, CHUNK):
-        h = np.array([digest(joined[a:b], 42) for a, b in spans[at : at + CHUNK]], np.uint64)
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    return majority(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -1,6 +1,5 @@
 import random
 
-import corpus_pipeline
 import pytest
 from parley.llm import nearcopies
 from test_simhash import TEXTS, brute_fingerprint
@@ -55,7 +54,7 @@ def test_stage_keeps_the_first_of_each_exact_component(spark, monkeypatch, sampl
     monkeypatch.setattr(nearcopies, "SAMPLE", sample)
     texts = make(3)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    got = sorted(r.doc_id for r in nearcopies.first_copies(docs).collect())
     assert got == sorted(set(brute_roots(texts)))
 
 
@@ -68,9 +67,18 @@ def test_one_word_of_sixty_is_a_near_copy_beyond_three_bits(spark):
         b = [*a[:30], "other", *a[31:]]
         if (brute_fingerprint(" ".join(a)) ^ brute_fingerprint(" ".join(b))).bit_count() > 3:
             rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
-    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = nearcopies.first_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 40, 2))
 
 
 def test_empty_table(spark):
-    assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+    assert nearcopies.first_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_that_repeat_and_columns_that_clash(spark):
+    """Different texts under one id all stay; of rows alike one stays; null ids are group members that come last."""
+    rows = [(1, "a b c d e f", "x"), (1, "g h i j k l", "x"), (1, "m n o p q r", "y"), (1, "a b c d e f", "x"), (None, "a b c d e f", "n"), (None, "s t u v w x", "z"), (None, "s t u v w x", "z"), (2, None, "e"), (3, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string").selectExpr("*", "node as root", "node as first", "node as row", "node as fp")
+    got = sorted(tuple(r)[:3] for r in nearcopies.first_copies(docs).where("doc_id is not null").collect())
+    assert got == [(1, "a b c d e f", "x"), (1, "g h i j k l", "x"), (1, "m n o p q r", "y"), (2, None, "e")]
+    assert [tuple(r) for r in nearcopies.first_copies(docs).where("doc_id is null").collect()] == [(None, "s t u v w x", *"zzzzz")]
