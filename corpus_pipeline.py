@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.llm import language, mixing, substring
 from parley.llm.common import read, stage
 from parley.llm.decontamination import clean
-from parley.llm.nearcopies import near_copies, text_node
+from parley.llm.nearcopies import first_copies
 
 #: Least share of a document's letters in its language; nothing that one language leads is below.
 LEAST_SHARE = 0.25
@@ -27,15 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows that repeat an id stay once.
+    """One row of each group of near copies, the one of the smallest id; repeated and null ids lose no other text.
 
     Near copies share 0.8 or more of their 5-word shingles; op7's three words and three bits are its own.
-    Documents without an id stay: nothing names their group's first.
     """
-    rows = docs.withColumn("node", text_node(F.col("text"))).select("doc_id", "node")
-    found = stage(rows.join(near_copies(docs), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
-    first = stage(found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    return docs.where("doc_id is null").unionByName(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return first_copies(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +45,15 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null texts, repeated rows and other columns stay, and an empty benchmark takes nothing."""
     return clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each document that the mix takes words of."""
+    """doc_id, source, size, source_size, target, taken of each document that the mix takes words of.
+
+    Rows that repeat an id are documents of their own; texts without words go; no documents give no rows.
+    """
     return mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
