@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import topk
 
@@ -42,3 +43,13 @@ def test_fewer_rows_than_k_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [])], "vec_id long, embedding array<float>")
     assert rows(topk.top_k(df, df.where("vec_id = 0"))) == [(0, 1, 1, 128 * 256), (0, 2, 2, 0)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_rows_are_told_apart_by_row_not_by_id(spark):
+    """Two rows of one id are two queries, and each finds the other."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), *((i, [0.5, 0.25 * (i % 3)]) for i in range(1, 9))]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    twice = [(50, [1.0, 1.0])] * 2 + [(1, [0.1, 0.1])]
+    got = topk.top_k(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(tuple(r)[1:3] for r in got) == [(1, 50), (1, 50), (2, 1), (2, 1)]
