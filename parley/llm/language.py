@@ -143,8 +143,9 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     base = offsets[:-1]
     for rank, i in enumerate(order):
         laid[base[: len(scores[i])] + rank] = scores[i]
-    back = np.empty(laid.shape, np.int8)
-    best, here = np.zeros((len(order), k)), np.arange(k, dtype=np.int8)
+    kind = np.min_scalar_type(-max(k, 1))
+    back = np.empty(laid.shape, kind)
+    best, here = np.zeros((len(order), k)), np.arange(k, dtype=kind)
     for t in range(steps):
         n = active[t]
         now = best[:n]
@@ -153,9 +154,9 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         stay = now >= jump
         back[base[t] : base[t] + n] = np.where(stay, here, top[:, None])
         best[:n] = np.where(stay, now, jump) + laid[base[t] : base[t] + n]
-    paths = [np.empty(len(scores[i]), np.int8) for i in range(len(scores))]
+    paths = [np.empty(len(scores[i]), kind) for i in range(len(scores))]
     state = best.argmax(1)
-    flat = np.empty(len(laid), np.int8)
+    flat = np.empty(len(laid), kind)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         flat[base[t] : base[t] + n] = state[:n]

@@ -62,3 +62,11 @@ def test_chunks_change_nothing(docs, monkeypatch):
     monkeypatch.setattr(language, "CHUNK", 300)
     for a, b in zip(whole, language.words(text, model), strict=True):
         assert np.allclose(a, b)
+
+
+def test_two_hundred_languages(spark):
+    """Labels beyond 127 are labels like any other."""
+    rows = [(i, chr(0x4E00 + i % 200) * 3 + " " + chr(0x4E00 + i % 200) * 5, f"l{i % 200:03d}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.label(docs, language.fit(docs)).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got) and len({r.lang_pred for r in got}) > 180
