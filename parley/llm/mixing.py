@@ -90,7 +90,8 @@ def mix_sizes(sizes: DataFrame, weights: tuple, share: float, passes: int, seed:
     plan = stage(apportion(plan, [], "_rank", "target", "seats", "source_seats"), 1)
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     # The plan has a row a source: Spark sends it to all tasks while its file is small, and deals out both sides, splitting hot sources, beyond.
-    dealt = sizes.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_order", order).withColumn("shard", F.pmod(order, F.col("shards")))
+    every = sizes.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    dealt = every.where("size > 0").withColumn("_order", order).withColumn("shard", F.pmod(order, F.col("shards")))
     shards = dealt.groupBy("_rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("groups").alias("groups"), F.first("source_seats").alias("source_seats"), F.first("block_tokens").alias("block_tokens"))
     shards = shards.withColumn("group", F.col("shard") % F.col("groups"))
     groups = shards.groupBy("_rank", "group").agg(F.sum("shard_size").alias("group_size"), F.first("source_seats").alias("source_seats"))
@@ -99,7 +100,9 @@ def mix_sizes(sizes: DataFrame, weights: tuple, share: float, passes: int, seed:
     quotas = stage(quotas.select("_rank", "shard", "shard_size", "quota"), 8)
     rows = W.partitionBy("_rank", "shard").orderBy("_order", "doc_id", "size")
     rows = dealt.join(quotas, ["_rank", "shard"]).withColumn("_end", F.sum("size").over(rows.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.withColumn("taken", taken(passes, seed)).select("doc_id", "source", "size", "source_size", "target", "taken", "block_tokens")
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "block_tokens"]
+    empty = every.where("size = 0").withColumn("taken", F.lit(0).cast("long"))  # in no shard: a shard has a word a row at least
+    return rows.withColumn("taken", taken(passes, seed)).select(*out).unionByName(empty.select(*out))
 
 
 def taken(passes: int, seed: int) -> Column:

@@ -67,3 +67,8 @@ def test_empty_tables(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     blank = docs.selectExpr("doc_id", "cast(null as string) text", "source")
     assert {(r.size, r.target, r.taken) for r in mixing.mix(blank).collect()} == {(0, 0.0, 0)}
+
+
+def test_empty_texts_are_in_no_shard(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "", "a") for i in range(50)] + [(100, "one two", "a")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(docs).collect()) == [*((i, 0, 0) for i in range(50)), (100, 2, 3)]
