@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 from .repeats import text_key
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -165,7 +165,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILA
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of docs whose texts hold no item."""
+    """The rows of docs whose texts hold no item; null texts and other columns stay."""
     t1, t2 = text_key(F.col("text"))
-    found = stage(contaminated(docs, benchmark, similar).select("t1", "t2").distinct()).toDF("__t1", "__t2")
-    return docs.join(found, (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left_anti")
+    own1, own2 = fresh(docs, "own1"), fresh(docs, "own2")
+    found = stage(contaminated(docs.select("text"), benchmark, similar).select("t1", "t2").distinct()).toDF(own1, own2)
+    return docs.join(found, (t1 == F.col(own1)) & (t2 == F.col(own2)), "left_anti")

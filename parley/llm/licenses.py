@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, quoted, stage
 
 #: Cosine from which a line states a license.
 LEAST = 0.6
@@ -118,7 +118,7 @@ def scan(files: DataFrame, templates: dict = TEMPLATES, least: float = LEAST) ->
     null where nothing is found. A null text states nothing; a null path inherits nothing; rows that repeat
     get a result each; no rows give no rows. Columns of these names are replaced.
     """
-    files = files.select(*[c for c in files.columns if c.lower() not in ("license", "license_score", "license_from")])
+    files = files.select(*[quoted(c) for c in files.columns if c.lower() not in ("license", "license_score", "license_from")])
     lines = stage(license_lines(files.select("path", "text"), templates, least))
     own = lines.groupBy(F.struct("path", "key").alias("file")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum("words").alias("said")).select("file", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"), "said")
     own = stage(own)
@@ -127,12 +127,13 @@ def scan(files: DataFrame, templates: dict = TEMPLATES, least: float = LEAST) ->
     holders = holders.where("path is not null").withColumn("above", F.array_join(F.filter(F.split(parent(F.col("path")), "/"), lambda p: p != ""), "/"))
     held = stage(holders.groupBy("above").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own").alias("license"))).alias("h")))
     folders = files.where("path is not null").select(parent(F.col("path")).alias("folder")).distinct()
-    near = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("a")).select("folder", "a.above", "a.levels").join(held, "above")
-    near = stage(near.groupBy("folder").agg(F.min(F.struct("levels", "h")).alias("n")).select("folder", "n.h"))
-    rows = files.withColumn("__key", file_of()).withColumn("__folder", parent(F.col("path")))
-    mine = own.toDF("__file", "__own", "__own_score", "__said").drop("__said")
-    rows = rows.join(mine, F.col("__key") == F.col("__file"), "left").join(near.toDF("__near", "__h"), F.col("__folder") == F.col("__near"), "left")
-    return rows.select(*files.columns, F.coalesce("__own", "__h.license").alias("license"), F.coalesce("__own_score", -F.col("__h.s")).alias("license_score"), F.when(F.col("__own").isNotNull(), F.col("path")).otherwise(F.col("__h.path")).alias("license_from"))
+    near_held = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("a")).select("folder", "a.above", "a.levels").join(held, "above")
+    near_held = stage(near_held.groupBy("folder").agg(F.min(F.struct("levels", "h")).alias("n")).select("folder", "n.h"))
+    key, folder, file, mine, score, near, held_by = (fresh(files, n) for n in ("key", "folder", "file", "mine", "points", "near", "holder"))
+    rows = files.withColumns({key: file_of(), folder: parent(F.col("path"))})
+    rows = rows.join(own.drop("said").toDF(file, mine, score), F.col(key) == F.col(file), "left").join(near_held.toDF(near, held_by), F.col(folder) == F.col(near), "left")
+    above = F.col(held_by)
+    return rows.select(*map(quoted, files.columns), F.coalesce(F.col(mine), above["license"]).alias("license"), F.coalesce(F.col(score), -above["s"]).alias("license_score"), F.when(F.col(mine).isNotNull(), F.col("path")).otherwise(above["path"]).alias("license_from"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
