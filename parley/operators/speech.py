@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import signal
+from ..functions import vectors as vec
 from . import timeline as tl
 from .rank import gathered
 
@@ -114,6 +115,44 @@ def cluster(vectors: DataFrame, count: int = 0, config: Config = DEFAULT) -> Dat
     return vectors.groupBy("meeting_id").applyInPandas(run, f"meeting_id {_id(vectors)}, seg_idx int, speaker_id int")
 
 
+def weighted_centroids(vectors: DataFrame, key: str, weight: str) -> DataFrame:
+    """key, features: the mean of each key's unit vectors (features) by weight, at length 1."""
+    rows = vectors.select(key, weight, F.posexplode(vec.unit(F.col("features"))).alias("k", "x"))
+    mean = rows.groupBy(key, "k").agg((F.sum(F.col("x") * F.col(weight)) / F.sum(weight)).alias("x"))
+    return mean.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("all")).select(key, vec.unit(F.transform("all", lambda p: p["x"])).alias("features"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, decimals: int = 6, block: int = 1024) -> DataFrame:
+    """query_id, vec_id, distance: for each query (vec_id, features) the row of another id at the least cosine distance, ties to the smaller id.
+
+    Queries and rows meet in blocks: a task holds one block of queries and one part of the rows at a time.
+    """
+    spark = vectors.sparkSession
+    parts, blocks = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-queries.count() // block))
+    key = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("vec_id", "features", key(blocks).alias("block")).withColumn("part", spread(parts))
+    rows = vectors.select("vec_id", "features", key(parts).alias("part")).withColumn("block", spread(blocks))
+
+    def matrix(df: pd.DataFrame) -> np.ndarray:
+        m = np.array(df["features"].tolist(), float).reshape(len(df), -1)
+        n = np.sqrt((m**2).sum(1, keepdims=True))
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 1e-12)
+
+    def best(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        v = v.sort_values("vec_id")
+        far = np.round(np.clip(1 - matrix(q) @ matrix(v).T, 0, 2), decimals) + 0.0
+        far[q["vec_id"].to_numpy()[:, None] == v["vec_id"].to_numpy()[None]] = np.inf
+        at = far.argmin(1)
+        out = pd.DataFrame({"query_id": q["vec_id"].to_numpy(), "vec_id": v["vec_id"].to_numpy()[at], "distance": far[np.arange(len(q)), at]})
+        return out[np.isfinite(out["distance"])]
+
+    met = asked.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInPandas(best, "query_id long, vec_id long, distance double")
+    return met.groupBy("query_id").agg(F.min(F.struct("distance", "vec_id")).alias("b")).select("query_id", "b.vec_id", "b.distance")
+
+
 def diarize(segments: DataFrame, vectors: DataFrame, count: int = 0, config: Config = DEFAULT) -> DataFrame:
     """segments with speaker_id: clusters, then labels carried forward, smoothed and numbered by first appearance."""
     rows = segments.drop("speaker_id").join(cluster(vectors, count, config), ["meeting_id", "seg_idx"], "left")

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions import chinese, signal, text as tx
+from ..functions import chinese, signal, text as tx, vectors
 from ..functions import words as w
-from ..operators import extract, rank, timeline as tl
+from ..operators import extract, rank, speech, timeline as tl
 from ..sources import sinks, tables
 from . import pipeline
 
@@ -261,88 +261,11 @@ SAID = (
     "这个由李四负责", "请张三跟进一下进度", "让王五来落实这件事", "@赵六 记得提交报告", "产品负责这块", "九月二十日前提交", "下周三之前完成", "明天给我", "10月8日上线", "月底前完成", "3个工作日内反馈",
     "百分之三十的预算", "二零二六年三点五版", "嗯那个我们继续推进", "我来整理会议记录", "这个方案可以吗？",
 )
-SAID_SQL = "said AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SAID)) + ") AS t(sent_idx, text))"
-
-
-def said(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SAID)), "sent_idx int, text string")
-
-
-def _kind_sql() -> str:
-    cases = []
-    for name, triggers in w.DECISIONS:
-        then = f"CASE WHEN regexp_matches(text, '{'|'.join(w.DENIALS)}') THEN '否决' ELSE '同意' END" if name == "同意" else f"'{name}'"
-        cases.append(f"WHEN regexp_matches(text, '{'|'.join(triggers)}') THEN {then}")
-    return "CASE " + " ".join(cases) + " END"
-
-
-@query(f"WITH {SAID_SQL} SELECT sent_idx, text, {_kind_sql()} AS kind, NOT regexp_matches(text, '[？?]$') AND NOT regexp_matches(text, '{'|'.join(w.ENQUIRIES)}') AND {_kind_sql()} IS NOT NULL AS decided FROM said")
-def decision_classify(spark, sf_dir):
-    text = F.col("text")
-    return said(spark).select("sent_idx", "text", tx.decision_kind(text).alias("kind"), tx.is_decision(text).alias("decided"))
-
-
-@query(f"WITH {SAID_SQL} SELECT sent_idx, CASE WHEN regexp_matches(text, '{'|'.join(w.HIGH)}') THEN '高' WHEN regexp_matches(text, '{'|'.join(w.LOW)}') THEN '低' ELSE '中' END AS priority FROM said")
-def priority(spark, sf_dir):
-    return said(spark).select("sent_idx", tx.priority(F.col("text")).alias("priority"))
-
-
-@query(f"WITH {SAID_SQL} SELECT sent_idx, CASE WHEN regexp_matches(text, '[？?]$') THEN NULL " + " ".join(f"WHEN contains(text, '{t}') THEN '{t}'" for t in w.ACTION_TRIGGERS) + " END AS trigger FROM said")
-def action_trigger(spark, sf_dir):
-    return said(spark).select("sent_idx", tx.action_trigger(F.col("text")).alias("trigger"))
-
-
-@query(f"WITH {SAID_SQL} SELECT sent_idx, regexp_matches(text, '({'|'.join(w.QUESTION_ENDS)})$') OR regexp_matches(text, '{'|'.join(w.QUESTION_INNER)}') AS asks, regexp_matches(text, '^({'|'.join(w.IMPERATIVE_STARTS)})') AS orders FROM said")
-def sentence_mood(spark, sf_dir):
-    return said(spark).select("sent_idx", tx.interrogative(F.col("text")).alias("asks"), tx.imperative(F.col("text")).alias("orders"))
-
-
-@query()
-def itn(spark, sf_dir):
-    return said(spark).select("sent_idx", chinese.normalize_udf("text").alias("text"))
-
-
-@query()
-def punct_restore(spark, sf_dir):
-    return said(spark).select("sent_idx", chinese.punctuate_udf(F.col("text"), F.lit(500)).alias("text"))
-
-
-@query()
-def owner(spark, sf_dir):
-    return said(spark).select("sent_idx", chinese.owner_udf("text").alias("owner"))
-
-
-@query()
-def due_date(spark, sf_dir):
-    return said(spark).select("sent_idx", chinese.due_date_udf(F.col("text"), F.lit("2026-09-14").cast("date")).alias("d")).select("sent_idx", "d.due_date", "d.due_text")
-
-
-@query()
-def action_items(spark, sf_dir):
-    rows = said(spark).select(F.lit(1).alias("meeting_id"), "sent_idx", "text", (F.col("sent_idx") * 3500).cast("long").alias("start_ms"), F.lit(0).alias("speaker_id"))
-    meetings = spark.sql("SELECT 1 AS meeting_id, DATE'2026-09-14' AS meeting_date, array('张三') AS speaker_labels")
-    return extract.action_items(rows, meetings)
-
-
-@query()
-def weighted_split(spark, sf_dir):
-    rows = segments(spark, sf_dir).select("meeting_id", "seg_idx", "text")
-    return rows.select("meeting_id", "seg_idx", F.posexplode(chinese.split_by_weights_udf(F.col("text"), F.array(F.lit(3), F.lit(1), F.lit(2)))).alias("k", "part"))
 
 
 # ---- statistics, transcripts
 
 
-@query(f"WITH {SEGMENTS} SELECT meeting_id, count(*) AS n_segments, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms, max(end_ms) AS duration_ms, count(DISTINCT speaker_id) AS n_speakers FROM seg GROUP BY meeting_id")
-def meeting_stats(spark, sf_dir):
-    return extract.meeting_stats(segments(spark, sf_dir)).select("meeting_id", "n_segments", "n_chars", "speech_ms", "duration_ms", "n_speakers")
-
-
-@query(f"WITH {SEGMENTS} SELECT meeting_id, speaker_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS talk_ms, CAST(0 AS BIGINT) AS chars FROM seg GROUP BY ALL")
-def speaker_stats(spark, sf_dir):
-    return extract.speaker_stats(segments(spark, sf_dir))
-
-
 @query(f"WITH {SEGMENTS} SELECT meeting_id, speaker_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS talk_ms, count(*) AS n FROM seg GROUP BY ROLLUP (meeting_id, speaker_id)")
 def speaker_rollup(spark, sf_dir):
     return segments(spark, sf_dir).rollup("meeting_id", "speaker_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("talk_ms"), F.count("*").alias("n"))
@@ -493,36 +416,68 @@ def merge_distance_jump(spark, sf_dir):
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))"
 
 
-@query(f"SELECT vec_id, round({NORM}, 5) AS norm FROM embeddings")
-def embedding_norm(spark, sf_dir):
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(total), 5).alias("norm"))
+UNIT = f"u AS (SELECT vec_id, label, unnest(embedding) / {NORM} AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)"
+
+
+def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("features"))
+
+
+@query(f"WITH {UNIT} SELECT vec_id, CAST(k AS INTEGER) AS k, round(x, 5) AS x FROM u")
+def embedding_unit(spark, sf_dir):
+    rows = voices(spark, sf_dir).select("vec_id", F.posexplode(vectors.unit(F.col("features"))).alias("k", "x"))
+    return rows.select("vec_id", "k", F.round("x", 5).alias("x"))
 
 
-@query("WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT label, CAST(k AS INTEGER) AS k, round(avg(CAST(x AS DOUBLE)), 5) AS mean FROM e GROUP BY ALL")
+@query(f"WITH {UNIT}, m AS (SELECT label, k, sum(x * (vec_id % 3 + 1)) / sum(vec_id % 3 + 1) AS x FROM u GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label) SELECT label, CAST(k AS INTEGER) AS k, round(x / n, 5) AS mean FROM m JOIN n USING (label)")
 def centroid_by_label(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
-    return rows.groupBy("label", "k").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+    rows = speech.weighted_centroids(voices(spark, sf_dir).withColumn("weight", F.col("vec_id") % 3 + 1), "label", "weight")
+    return rows.select("label", F.posexplode("features").alias("k", "x")).select("label", "k", F.round("x", 5).alias("mean"))
 
 
-@query("""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.vec_id % 20 = 0),
+@query(f"""WITH n AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    d AS (SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_cosine_similarity(a.e, b.e), 6) AS d FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM d) SELECT query_id, vec_id, d AS distance FROM r WHERE r = 1""")
 def nearest_neighbour(spark, sf_dir):
-    """The nearest voice of the same label for each query voice."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    v = v.withColumn("n", norm(F.col("e")))
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("qe"), F.col("n").alias("qn"))
-    dot = F.aggregate(F.zip_with("e", "qe", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = v.join(q, "label").where("vec_id <> query_id").withColumn("d", F.round(1 - dot / (F.col("n") * F.col("qn")), 6))
-    best = pairs.groupBy("query_id").agg(F.min(F.struct("d", "vec_id")).alias("b"))
-    return best.select("query_id", "b.vec_id", F.col("b.d").alias("distance"))
-
-
-@query("WITH e AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings) SELECT vec_id, round(max(abs(CAST(x AS DOUBLE))), 6) AS peak, round(sqrt(avg(CAST(x AS DOUBLE) * x)), 6) AS rms, round(avg(CAST(x AS DOUBLE)), 6) AS mean, round(sum(CASE WHEN abs(x) >= 0.2 THEN 1 ELSE 0 END) / count(*), 6) AS clipped FROM e GROUP BY vec_id")
+    """The nearest of all other voices for each query voice."""
+    v = voices(spark, sf_dir)
+    return speech.nearest(v, v.where("vec_id % 20 = 0"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, lead(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) OVER (ORDER BY vec_id) AS f FROM embeddings)
+    SELECT vec_id, round(1 - list_cosine_similarity(e, f), 6) AS distance FROM p WHERE f IS NOT NULL AND vec_id % 2 = 0""")
+def pair_distance(spark, sf_dir):
+    """Cosine distance of each even voice to the next id's."""
+    v = voices(spark, sf_dir)
+    follow = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("features").alias("other"))
+    return v.where("vec_id % 2 = 0").join(follow, "vec_id").select("vec_id", F.round(vectors.cosine_distance(F.col("features"), F.col("other")), 6).alias("distance"))
+
+
+DB = "CASE WHEN {0} > 1e-5 THEN 20 * log10({0}) ELSE -100.0 END"
+
+
+@query(f"""WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+    b AS (SELECT vec_id, count(*) AS n, sqrt(avg(x * x)) AS rms FROM e GROUP BY vec_id, k // 20), q AS (SELECT vec_id, 20 * count(*) FILTER (WHERE n = 20 AND rms < 0.001) AS quiet FROM b GROUP BY vec_id),
+    a AS (SELECT vec_id, count(*) AS duration_ms, max(abs(x)) AS p, sqrt(avg(x * x)) AS r, avg(CASE WHEN abs(x) >= 0.999 THEN 1.0 ELSE 0 END) AS clipping, avg(x) AS o FROM e GROUP BY vec_id)
+    SELECT vec_id, duration_ms, round({DB.format("p")}, 6) AS peak_db, round({DB.format("r")}, 6) AS rms_db, round(clipping, 6) AS clipping, round(o, 6) AS "offset", CAST(quiet AS BIGINT) AS near_silent_ms FROM a JOIN q USING (vec_id)""")
 def signal_quality(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("f")).withColumn("x", F.col("f").cast("double"))
-    return rows.groupBy("vec_id").agg(F.round(F.max(F.abs("x")), 6).alias("peak"), F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.count_if(F.abs("f") >= F.lit(0.2).cast("float")) / F.count("*"), 6).alias("clipped"))
+    """Levels of each vector as 1 kHz sound."""
+    found = speech.quality(sound(spark, sf_dir))
+    return found.select(F.col("meeting_id").alias("vec_id"), "duration_ms", *[F.round(c, 6).alias(c) for c in ("peak_db", "rms_db", "clipping", "offset")], "near_silent_ms")
+
+
+def sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("meeting_id"), F.lit(1000).alias("sample_rate"), F.col("embedding").alias("samples"))
+
+
+@query("""WITH s AS (SELECT vec_id, embedding, greatest(0, vec_id % 40 - 5) AS a, least(len(embedding), vec_id % 40 + 10 + vec_id % 20 + 5) AS z FROM embeddings)
+    SELECT vec_id, CAST(a AS BIGINT) AS from_ms, CAST(greatest(0, z - a) AS INTEGER) AS n, round(coalesce(list_sum(list_transform(embedding[a + 1:z], lambda x: CAST(x AS DOUBLE))), 0), 5) AS total FROM s""")
+def padded_slices(spark, sf_dir):
+    """A padded piece of each vector as 1 kHz sound."""
+    audio, m = sound(spark, sf_dir), F.col("meeting_id")
+    cut = speech.slices(audio.select("meeting_id", (m % 40).alias("start_ms"), (m % 40 + 10 + m % 20).alias("end_ms")), audio, 5)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return cut.select(m.alias("vec_id"), "from_ms", F.size("samples").alias("n"), F.round(total, 5).alias("total"))
 
 
 @query("WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT vec_id, CAST(k // 8 AS BIGINT) AS bucket, round(least(min(CAST(x AS DOUBLE)), 0), 6) AS low, round(greatest(max(CAST(x AS DOUBLE)), 0), 6) AS high FROM e GROUP BY ALL")
@@ -534,10 +489,8 @@ def waveform_envelope(spark, sf_dir):
 @query()
 def agglomerative(spark, sf_dir):
     """Clusters of the voices of every 50 consecutive ids: a meeting each."""
-    from ..operators.speech import cluster
-
     v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).cast("long").alias("meeting_id"), (F.col("vec_id") % 50).cast("int").alias("seg_idx"), F.col("embedding").alias("features"))
-    return cluster(v)
+    return speech.cluster(v)
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT meeting_id, frame_idx AS i, CAST(CAST((value - 50) / 500 AS FLOAT) AS DOUBLE) AS x FROM ev),
@@ -548,11 +501,9 @@ def agglomerative(spark, sf_dir):
     UNION ALL SELECT meeting_id, 0, -100.0, 0.0 FROM s GROUP BY meeting_id HAVING count(*) < 25""")
 def frame_levels(spark, sf_dir):
     """Levels of a user's values, less 50, as samples of 1 kHz sound."""
-    from ..operators.speech import frame_levels as levels
-
     x = F.struct("frame_idx", ((F.col("value") - 50) / 500).cast("float").alias("x"))
     audio = events(spark, sf_dir).groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(x)), lambda s: s["x"]).alias("samples")).withColumn("sample_rate", F.lit(1000))
-    return levels(audio).select("meeting_id", "frame_idx", F.round("rms_db", 6).alias("rms_db"), F.round("zcr", 6).alias("zcr"))
+    return speech.frame_levels(audio).select("meeting_id", "frame_idx", F.round("rms_db", 6).alias("rms_db"), F.round("zcr", 6).alias("zcr"))
 
 
 # ---- whole minutes
