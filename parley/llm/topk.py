@@ -24,7 +24,7 @@ PIVOTS, RINGS = 16, 8
 FIRST_SCAN = 1024
 #: Rows of a chunk: a 200th of all, within these bounds.
 CHUNK = (256, 8192)
-#: Queries of one pivot that meet a chunk at once.
+#: Queries that meet a chunk at once.
 QUERY_BLOCK = 2048
 
 
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, scale: fl
     index = index.join(directory.select("cell", F.ceil(F.col("n") / chunk).alias("many")), "cell").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("many")).cast("int")).select("cell", "chunk", "row", "vec_id", "v")
 
     def wanted(first: bool):
-        """The cells of each query's first scan, or those left that may hold a score of at least `least`; a query's block is one of its nearest pivot's."""
+        """The cells of each query's first scan, or those left that may hold a score of at least `least`; a query's block goes by its nearest pivot."""
         numbers, sizes = np.array([c[1] for c in cells]), np.array([c[5] for c in cells])
         chunks = -(-sizes // chunk)
 
@@ -153,10 +153,12 @@ def top_k(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, scale: fl
         return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(("q", "query_id", "vec_id", "score"), types, strict=True))})
 
     queries_of = asked.count()
+    blocks = -(-queries_of // QUERY_BLOCK)
+    groups = max(1, min(len(pivots), blocks))  # of pivots: queries of one group ask for much the same cells
 
     def meet(asks: DataFrame) -> DataFrame:
         """The k best of each query in each chunk that it asks for; a chunk goes only to the blocks of queries that ask for its cell."""
-        asks = stage(asks.withColumn("block", F.col("pivot") + len(pivots) * F.pmod(F.xxhash64("q"), F.lit(-(-queries_of // QUERY_BLOCK)))).drop("pivot"))
+        asks = stage(asks.withColumn("block", F.col("pivot") % groups + groups * F.pmod(F.xxhash64("q"), F.lit(-(-blocks // groups)))).drop("pivot"))
         pairs = asks.select(F.col("cell").alias("c"), F.col("block").alias("b")).distinct()
         sides = index.join(pairs, index["cell"] == pairs["c"]).select("cell", "chunk", F.col("b").alias("block"), "row", "vec_id", "v")
         return asks.groupBy("cell", "chunk", "block").cogroup(sides.groupBy("cell", "chunk", "block")).applyInArrow(scan, f"q long, query_id {id_type}, vec_id {id_type}, score long")
