@@ -168,19 +168,28 @@ def apart(shared: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: gathered(pairs(batches), ["a", "b"]), "a long, b long").distinct()
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """2 ** PLACES bits, each whether an odd number of a set's shingles fall on it."""
-    n = np.bincount((s >> np.uint64(64 - PLACES)).astype(np.int64), minlength=1 << PLACES) & 1
+def parities(s: np.ndarray, places: int = PLACES) -> np.ndarray:
+    """2 ** places bits, each whether an odd number of a set's shingles fall on it."""
+    n = np.bincount((s & np.uint64((1 << places) - 1)).astype(np.int64), minlength=1 << places) & 1
     return np.packbits(n.astype(np.uint8)).view(np.int64)
 
 
+def fine_parities(s: np.ndarray) -> np.ndarray:
+    """Parities with 8 bits a shingle or more: an eighth of the set itself, and few shingles share a bit."""
+    return parities(s, max(PLACES, (8 * len(s) - 1).bit_length()))
+
+
 def may_be_similar(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The pairs (a, b) but for those whose parities (node, bits, n) prove that they aren't similar enough.
 
     Sets differ in no fewer shingles than bits, and similar ones in (DEN - NUM) / (DEN + NUM) of both sizes at most.
+    Parities of twice the length are folded.
     """
     rows = pairs.join(bits.toDF("a", "ba", "na"), "a").join(bits.toDF("b", "bb", "nb"), "b")
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    rows = rows.where((DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na")))  # so that lengths are alike, or one twice the other
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda v, w: v.bitwiseXOR(w))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(fold("ba", "bb"), fold("bb", "ba"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return rows.where((DEN + NUM) * differ <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
@@ -205,17 +214,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = docs.select(text_node(F.col("text")).alias("node"), "text")
     shared = stage(shared_prefixes(texts))
     nodes = stage(shared.select("node").distinct())
-    shape = lambda node, s: (np.array([node]), [parities(s)], np.array([len(s)], np.int32), np.array([majority(s)], np.uint64).view(np.int64))
-    known = stage(sets_of(texts.join(nodes, "node", "left_semi"), "node long, bits array<long>, n int, fp long", shape).dropDuplicates(["node"]))
-    bits = known.select("node", "bits", "n")
+    shape = lambda node, s: (np.array([node]), [parities(s)], [fine_parities(s)], np.array([len(s)], np.int32), np.array([majority(s)], np.uint64).view(np.int64))
+    known = stage(sets_of(texts.join(nodes, "node", "left_semi"), "node long, bits array<long>, fine array<long>, n int, fp long", shape).dropDuplicates(["node"]))
+    bits, fine = known.select("node", "bits", "n"), known.select("node", "fine", "n")
     prints = stage(known.groupBy("fp").agg(F.min("node").alias("first")))
     alike = known.join(prints, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     close = links(prints.select("fp")).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     beside = shared.where("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
     tried = stage(alike.union(close).union(beside).distinct())
-    edges = similar(may_be_similar(tried, bits), texts)
+    edges = similar(may_be_similar(stage(may_be_similar(tried, bits)), fine), texts)
     rest = apart(shared, components(edges), bits).join(tried, ["a", "b"], "left_anti")
-    return components(edges.union(similar(rest, texts)))
+    return components(edges.union(similar(may_be_similar(stage(rest), fine), texts)))
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
