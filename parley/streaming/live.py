@@ -130,7 +130,10 @@ class LiveProcessor(StatefulProcessor):
                 at, x = s.cut(r[1], r[2]) if self.sound else (None, None)
                 out.append((key[0], *r, s.rate, at, x.tolist()) if self.sound else (key[0], *r))
             s.forget()
-        self.state.update((s.saved(),))
+        if chunks["last"].iloc[-1]:
+            self.state.clear()  # a meeting that has ended leaves nothing behind
+        else:
+            self.state.update((s.saved(),))
         yield pd.DataFrame(out, columns=columns)
 
     def close(self) -> None:
