@@ -72,3 +72,11 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert d.decontaminate(docs, items.limit(0)).count() == 0 and d.clean(docs, items.limit(0)).count() == 1
     assert d.decontaminate(docs.limit(0), items).count() == 0 and d.clean(docs.limit(0), items).count() == 0
+
+
+def test_clean_keeps_other_columns(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item, "a", "b", "c"), (2, "other words here", "a", "b", "c"), (3, None, "a", "b", "c"), (3, None, "a", "b", "c")], "doc_id long, text string, __t1 string, t1 string, own1 string")
+    got = d.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == sorted([(2, "other words here", "a", "b", "c"), (3, None, "a", "b", "c"), (3, None, "a", "b", "c")], key=str)
+    assert d.clean(docs, spark.createDataFrame([], "item_id long, text string")).count() == 4

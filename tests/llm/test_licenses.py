@@ -69,3 +69,11 @@ def test_common_words_weigh_little(spark):
 
 def test_empty_table(spark):
     assert li.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_scan_keeps_other_columns(spark):
+    rows = [("a/LICENSE", "Released under the MIT License.", "k", "f", "m"), ("a/b.txt", "some text", "k", "f", "m"), (None, None, "k", "f", "m")]
+    files = spark.createDataFrame(rows, "path string, text string, __key string, folder string, mine string")
+    got = li.scan(files)
+    assert got.columns == [*files.columns, "license", "license_score", "license_from"]
+    assert {(r["path"], r["__key"], r["folder"], r["mine"], r["license"]) for r in got.collect()} == {("a/LICENSE", "k", "f", "m", "MIT"), ("a/b.txt", "k", "f", "m", "MIT"), (None, "k", "f", "m", None)}
