@@ -4,8 +4,9 @@ Fingerprints of 5-word shingles meet under their deletion-variant signatures, an
 the sets verifies what they find. Texts of similarity 0.8 differ in some 9 or 10 of 64 bits, though, a radius
 at which no index of such fingerprints is selective. The rest comes from a prefix filter, which loses none:
 under one order of all shingles, two sets that are similar enough share one of the first shingles of each.
-The order puts shingles first that a bounded sample holds seldom; it decides how many candidates there are,
-not which pairs are found.
+The order puts rare shingles first, by a sketch that counts those of all texts: it never counts too few, so a
+shingle that it counts once is in no other text and isn't sent. The sketch decides how many candidates there
+are, not which pairs are found.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from .simhash import links, majority
 
 #: Words of a shingle; near copies have a similarity of NUM / DEN at least.
 SHINGLE, NUM, DEN = 5, 4, 5
-#: Texts, about, whose shingles are counted for the order; texts of those that make a shingle common; common ones that are told apart.
-SAMPLE, COMMON, MOST = 20000, 3, 1 << 18
+#: Bytes of text for each counter of the sketch, about a word; most counters, as a power of 2: 64 MB of levels, which all tasks get.
+WORD_SIZE, MOST_BITS = 8, 27
+#: Counters that travel together, as a power of 2; shingles that a task counts before it sends them.
+BLOCK_BITS, COUNTED = 18, 1 << 21
+#: Counts, or multiples of the mean count, at which the levels 2 to 15 begin.
+STEPS = np.array([3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 1024])
 #: Texts that a task remembers, so as to send each of them once; values that it holds before it sends them.
 SEEN, HELD = 1 << 18, 1 << 17
 #: Bits of a set's parities, as a power of 2.
@@ -79,24 +84,78 @@ def sets_of(texts: DataFrame, schema: str, shape) -> DataFrame:
     return texts.select("node", "text").mapInArrow(lambda batches: gathered(each(batches), names), schema)
 
 
-def common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and ranks from 1 on, of the most common shingles of a bounded sample of texts (node, text)."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    few = texts.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    held = sets_of(few, "h long", lambda node, s: (s.view(np.int64),))
-    counts = held.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST).collect()
-    h, n = np.array([r.h for r in counts], np.int64).view(np.uint64), np.array([r.n for r in counts], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def planes(x: np.ndarray) -> bytes:
+    """Small unsigned numbers, all their lowest bytes first: the zeros of the higher ones compress."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def prefix(s: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set, of which any set that is similar enough has one among its own first."""
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def counters(h: np.ndarray, bits: int) -> np.ndarray:
+    """The counter of each shingle."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def levels(n: np.ndarray) -> np.ndarray:
+    """0 where only one text can hold a shingle, else 1 to 15 by how common shingles are; where counters are shared, beside the mean."""
+    return np.where(n < 2, 0, 1 + np.searchsorted(STEPS, n / max(1.0, float(n.mean())), side="right")).astype(np.uint8)
+
+
+def commonness(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits of a counter's place, and the levels of all counters, two a byte, of the shingles of all texts (node, text).
+
+    A text counts once a task, so counters are never too low. Tasks send the counters that they touched; blocks of
+    them are summed apart, and only levels reach the driver.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(BLOCK_BITS, (size // WORD_SIZE).bit_length()))
+    sets = sets_of(texts, "h long", lambda node, s: (s.view(np.int64),))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(np.asarray(b.column(0)))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield from send(held)
+                held, size = [], 0
+        yield from send(held)
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not sum(map(len, held)):
+            return
+        at, n = np.unique(counters(np.concatenate(held).view(np.uint64), bits), return_counts=True)
+        cuts = np.flatnonzero(np.diff(at >> BLOCK_BITS)) + 1
+        rows = [(int(x[0] >> BLOCK_BITS), planes(np.diff(x, prepend=x[0] >> BLOCK_BITS << BLOCK_BITS)), planes(y)) for x, y in zip(np.split(at, cuts), np.split(n, cuts), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "gaps", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, gaps, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                own = total.setdefault(block, np.zeros(1 << BLOCK_BITS, np.uint32))
+                own[np.cumsum(unplaned(gaps))] += unplaned(n)
+        for block, own in total.items():
+            level = levels(own)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], ["block", "levels"])
+
+    sent = sets.mapInArrow(count, "block int, gaps binary, n binary")
+    merged = sent.repartition(shuffle_partitions(texts.sparkSession), "block").mapInArrow(merge, "block int, levels binary")
+    out, width = np.zeros(1 << (bits - 1), np.uint8), 1 << (BLOCK_BITS - 1)
+    for r in merged.toLocalIterator():
+        out[r.block * width : (r.block + 1) * width] = np.frombuffer(r.levels, np.uint8)
+    return bits, out
+
+
+def prefix(s: np.ndarray, bits: int, packed: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, of which any set that is similar enough has one among its own first; without those that no other text has."""
     m = len(s) - -(-NUM * len(s) // DEN) + 1
-    if not len(known):
-        return s[:m]
-    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-    return s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")[:m]]
+    at = counters(s, bits)
+    level = packed[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
+    first = np.argsort(level, kind="stable")[:m]
+    return s[first[level[first] > 0]]
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -118,7 +177,7 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
 def shared_prefixes(texts: DataFrame) -> DataFrame:
     """h, n (size), node, and `before`, the node next below in size: the rows of the prefixes' shingles that two sets of near size have."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(common(texts))
+    sent = spark.sparkContext.broadcast(commonness(texts))
 
     def entries(node: int, s: np.ndarray) -> tuple:
         p = prefix(s, *sent.value).view(np.int64)

@@ -49,9 +49,11 @@ def make(seed):
     return texts + [texts[20].upper(), "one", "one two", "One TWO"]
 
 
-@pytest.mark.parametrize("sample", [nearcopies.SAMPLE, 0])
-def test_stage_keeps_the_first_of_each_exact_component(spark, monkeypatch, sample):
-    monkeypatch.setattr(nearcopies, "SAMPLE", sample)
+@pytest.mark.parametrize("bits", [nearcopies.BLOCK_BITS, 8])
+def test_stage_keeps_the_first_of_each_exact_component(spark, monkeypatch, bits):
+    """Also where so many shingles share each counter that the sketch tells nothing."""
+    monkeypatch.setattr(nearcopies, "BLOCK_BITS", bits)
+    monkeypatch.setattr(nearcopies, "MOST_BITS", max(bits, 9))
     texts = make(3)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(r.doc_id for r in nearcopies.first_copies(docs).collect())
