@@ -82,6 +82,11 @@ def delta(c: np.ndarray) -> np.ndarray:
     return sum(k * (at(k) - at(-k)) for k in (1, 2)) / 10
 
 
+def mean_normalized(c: np.ndarray) -> np.ndarray:
+    """Coefficients of frames (rows) less the mean of each; no frames stay so."""
+    return c - c.mean(axis=0, keepdims=True) if len(c) else c
+
+
 def embedding(x: np.ndarray, rate: int) -> np.ndarray:
     """Mean, deviation and mean change of the cepstra, of unit length; without the change under 3 frames."""
     c = mfcc(x, rate)

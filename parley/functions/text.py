@@ -82,6 +82,11 @@ def sentences(s: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), trim), lambda x: x != "")
 
 
+def needs_conversion(s: Column, characters: dict[str, str]) -> Column:
+    """Whether a text holds any character of the map."""
+    return F.translate(s, "".join(characters), "") != s if characters else s.isNull() & F.lit(False)
+
+
 def html_escape(s: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -126,6 +131,19 @@ def clock(ms: Column) -> Column:
     return F.concat(duration(ms), F.lit("."), F.lpad(_part(ms, 1, 1000).cast("string"), 3, "0"))
 
 
+def spoken_duration(ms: Column) -> Column:
+    """Hours, minutes and, under an hour, seconds in words; zero parts are left out."""
+    hours, minutes, seconds = _part(ms, 3600000), _part(ms, 60000, 60), _part(ms, 1000, 60)
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(" " + unit))
+    out = F.concat_ws(" ", F.when(hours > 0, said(hours, "小时")), F.when(minutes > 0, said(minutes, "分钟")), F.when((hours == 0) & (seconds > 0), said(seconds, "秒")))
+    return F.when(ms.isNotNull(), F.when(out == "", "0 秒").otherwise(out))
+
+
+def real_time_factor(audio_ms: Column, elapsed_ms: Column) -> Column:
+    """Time heard for each time worked; 0 where either is not known."""
+    return F.when((audio_ms > 0) & (elapsed_ms > 0), audio_ms / elapsed_ms).otherwise(0.0)
+
+
 def short_time(ms: Column) -> Column:
     return F.format_string("%02d:%02d", _part(ms, 60000), _part(ms, 1000, 60))
 

@@ -517,4 +517,4 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def minutes_reviewed(spark, sf_dir):
     made = pipeline.from_reviewed(meetings(spark, sf_dir), segments(spark, sf_dir).drop("label"), stopwords=stop_words(spark))
-    return sinks.markdown(made)
+    return sinks.markdown(made, F.lit("2026-09-14 18:00:00"))

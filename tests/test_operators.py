@@ -1,6 +1,7 @@
 import json
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.config import DEFAULT, Config
-from parley.functions import signal
+from parley.functions import signal, text as tx
 from parley.operators import extract, rank, speech, timeline as tl
 from parley.plans import pipeline
 from parley.sources import sessions, sinks, tables, wav
@@ -239,7 +240,7 @@ def test_reviewed_import_and_sinks(spark, tmp_path):
     assert m.title == "产品评审会今天开始" and m.action_items[0].owner == "乙" and m.action_items[0].due_date == "2026-09-23"
     assert m.n_segments == 3 and {s.label: s.talk_ms for s in m.speakers} == {"甲": 3000, "乙": 5000}
     md = sinks.markdown(made).first().markdown
-    assert md.count("\n## ") == 9 and "| 我来整理会议记录" in md and "[00:00:00] 甲: 产品评审会" in md
+    assert "| 1 | 我来整理会议记录" in md and "**甲**\n\n`00:00:00` 产品评审会" in md and "## 九" not in md
     page = sinks.html(made).first().html
     assert "<script" not in page and "方案A" in page
     cues = sinks.srt_lines(segments.withColumn("label", F.lit("甲"))).orderBy("n").collect()
@@ -252,6 +253,51 @@ def test_reviewed_import_and_sinks(spark, tmp_path):
     assert written[0].read_text() == cues[0].cue + "\n" + cues[1].cue + "\n"
 
 
+MINUTES = """SELECT 'm' AS meeting_id, '周会' AS title, DATE'2026-09-14' AS meeting_date, 9000L AS duration_ms, 4500L AS speech_ms, 0.5D AS speech_ratio, 12L AS n_cjk, 2L AS n_speakers,
+    '概览<一>' AS overview, 'in|put/甲.wav' AS input_path, 'script' AS backend, array('a.md') AS files,
+    array(named_struct('title', 'A / B', 'keywords', array('A', 'B'), 'start_ms', 1000L), named_struct('title', '议题 2', 'keywords', array(), 'start_ms', -1L)) AS topics,
+    array(named_struct('text', '要点一。', 'start_ms', 0L), named_struct('text', '要点二。', 'start_ms', CAST(NULL AS BIGINT))) AS key_points,
+    array(named_struct('kind', '确定', 'text', '用方案A。', 'start_ms', 2000L)) AS decisions,
+    array(named_struct('task', '写|报告', 'owner', '', 'due_date', '', 'due_text', '', 'priority', '高'), named_struct('task', '发布', 'owner', '李|四', 'due_date', '2026-09-18', 'due_text', '周五', 'priority', '中'),
+        named_struct('task', '测试', 'owner', '甲', 'due_date', '', 'due_text', '尽快', 'priority', '中')) AS action_items,
+    array(named_struct('word', '方案', 'frequency', 3L), named_struct('word', '报告', 'frequency', 2L)) AS keywords, array('一条风险') AS risks,
+    array(named_struct('start_ms', 0L, 'speaker_id', 0, 'label', '甲', 'text', '早。'), named_struct('start_ms', 1000L, 'speaker_id', 0, 'label', '甲', 'text', '开始。'), named_struct('start_ms', 2000L, 'speaker_id', 9, 'label', '乙&', 'text', '好。')) AS lines"""
+
+
+def test_markdown_whole(spark):
+    got = sinks.markdown(spark.sql(MINUTES), F.lit("2026-09-14 18:00:00")).first().markdown
+    assert got == (
+        "# 周会\n\n| 项目 | 内容 |\n| --- | --- |\n| 会议日期 | 2026-09-14 |\n| 音频时长 | 00:00:09 |\n| 有效语音 | 00:00:04（50%） |\n| 转写字数 | 12 字 |\n| 说话人数 | 2 |\n"
+        "| 识别后端 | script |\n| 源文件 | `in\\|put/甲.wav` |\n| 生成时间 | 2026-09-14 18:00:00 |\n\n## 一、会议概览\n\n概览<一>\n\n"
+        "## 二、议题脉络\n\n1. **A / B**（关键词：A、B） — 起始于 00:00:01\n2. **议题 2**\n\n## 三、关键结论\n\n- `00:00:00` 要点一。\n- 要点二。\n\n## 四、会议决议\n\n- [确定] 用方案A。（`00:00:02`）\n\n"
+        "## 五、待办事项\n\n| # | 任务 | 责任人 | 截止时间 | 优先级 |\n| --- | --- | --- | --- | --- |\n| 1 | 写\\|报告 | 待指定 | 待定 | 高 |\n| 2 | 发布 | 李\\|四 | 2026-09-18 | 中 |\n| 3 | 测试 | 甲 | 尽快 | 中 |\n\n"
+        "## 六、关键词\n\n方案(3)、报告(2)\n\n## 七、风险与待确认\n\n- 一条风险\n\n## 八、全文转写\n\n\n**甲**\n\n`00:00:00` 早。\n\n`00:00:01` 开始。\n\n\n**乙&**\n\n`00:00:02` 好。\n\n"
+        "## 九、本次导出的文件\n\n- `a.md`\n\n"
+    )
+
+
+def test_text_html_and_names(spark, tmp_path):
+    made = spark.sql(MINUTES)
+    assert sinks.text(made).first().txt == "周会\n会议日期: 2026-09-14    时长: 00:00:09\n" + "=" * 60 + "\n\n[00:00:00] 甲: 早。\n[00:00:01] 甲: 开始。\n[00:00:02] 乙&: 好。\n"
+    page = sinks.html(made).first().html
+    assert page.startswith('<!DOCTYPE html>\n<html lang="zh-CN">') and "<p>概览&lt;一&gt;</p>" in page and "<td>待指定</td><td>待定</td><td>高</td>" in page and "<td>李|四</td><td>2026-09-18</td>" in page
+    assert '<span class="who" style="color:#16a34a">乙&amp;</span>' in page and '<span class="who" style="color:#2563eb">甲</span>' in page and page.count("<h2>") == 8
+    for options, name in (({}, "甲_2026-09-14"), ({"base_name": "my:notes"}, "my_notes")):
+        at = sinks.write_all(made, made, str(tmp_path / name), ("txt",), files=True, **options)["txt"]
+        assert [p.name for p in Path(at).glob("name=*")] == [f"name={name}"]
+    empty = made.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name in ("overview", "input_path", "backend", "files", "meeting_date") else F.array().cast(f.dataType).alias(f.name) if f.dataType.typeName() == "array" else f.name for f in made.schema])
+    assert sinks.markdown(empty).first().markdown.endswith("## 八、全文转写\n\n") and sinks.html(empty).first().html.count("<h2>") == 1
+
+
+def test_small_functions(spark):
+    said = lambda ms: spark.range(1).select(tx.spoken_duration(F.lit(ms)).alias("x")).first().x
+    assert [said(ms) for ms in (0, -5, 999, 61_000, 3_600_000, 3_661_000, 120_000)] == ["0 秒", "0 秒", "0 秒", "1 分钟 1 秒", "1 小时", "1 小时 1 分钟", "2 分钟"]
+    row = spark.range(1).select(tx.needs_conversion(F.lit("會议"), {"會": "会"}).alias("a"), tx.needs_conversion(F.lit("会议"), {"會": "会"}).alias("b"), tx.needs_conversion(F.lit("會"), {}).alias("c"), tx.real_time_factor(F.lit(9000), F.lit(3000)).alias("d"), tx.real_time_factor(F.lit(9000), F.lit(0)).alias("e")).first()
+    assert tuple(row) == (True, False, False, 3.0, 0.0)
+    c = np.random.default_rng(1).normal(size=(50, 13))
+    assert np.allclose(signal.mean_normalized(c).mean(axis=0), 0) and np.allclose(np.diff(signal.mean_normalized(c), axis=0), np.diff(c, axis=0)) and len(signal.mean_normalized(c[:0])) == 0
+
+
 def test_sessions(spark, tmp_path):
     store = sessions.Sessions(spark, str(tmp_path / "sessions"))
     assert store.list().count() == 0 and store.load("x").count() == 0
