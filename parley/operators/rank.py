@@ -6,13 +6,22 @@ sentences: meeting_id, sent_idx, tokens array<string>, and text where it is need
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import is_content, trim
+from ..session import stage
+
+
+#: Rounds of joins that one plan holds.
+LINEAGE = 5
 
 
 def token_rows(sentences: DataFrame) -> DataFrame:
@@ -49,36 +58,44 @@ def out_weight(edges: DataFrame) -> DataFrame:
 
 
 def textrank_fixed(nodes: DataFrame, edges: DataFrame, rounds: int, config: Config = DEFAULT) -> DataFrame:
-    """meeting_id, node, score after a fixed number of rounds, by joins: for graphs of any size."""
-    links = both_ways(edges)
-    links = links.join(links.groupBy("meeting_id", "src").agg(F.sum("w").alias("out_w")), ["meeting_id", "src"]).withColumn("p", F.col("w") / F.col("out_w")).select("meeting_id", "src", "dst", "p")
+    """meeting_id, node, score after a fixed number of rounds, by joins: for graphs of any size.
+
+    Nodes and links are computed once; scores become a table each LINEAGE rounds.
+    """
+    nodes, links = stage(nodes.select("meeting_id", "node")), stage(both_ways(stage(edges)))
+    links = stage(links.join(links.groupBy("meeting_id", "src").agg(F.sum("w").alias("out_w")), ["meeting_id", "src"]).withColumn("p", F.col("w") / F.col("out_w")).select("meeting_id", "src", "dst", "p"))
     scores = nodes.select("meeting_id", "node", F.lit(1.0).alias("score"))
-    for _ in range(rounds):
+    for done in range(rounds):
+        scores = stage(scores) if done and done % LINEAGE == 0 else scores
         given = links.join(scores.withColumnRenamed("node", "src"), ["meeting_id", "src"]).groupBy("meeting_id", F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         scores = nodes.join(given, ["meeting_id", "node"], "left").select("meeting_id", "node", (1 - config.damping + config.damping * F.coalesce("got", F.lit(0.0))).alias("score"))
     return scores
 
 
-def rank_graph(names: list, edges: list[tuple], config: Config = DEFAULT) -> dict:
-    """TextRank to convergence: names and (a, b, w) edges, taken in order, so that sums are the same each time."""
-    links: dict = {n: [] for n in names}
-    out = dict.fromkeys(names, 0.0)
-    for a, b, w in edges:
-        if w > 0 and a != b and a in links and b in links:
-            links[a].append((b, w))
-            links[b].append((a, w))
-            out[a] += w
-            out[b] += w
-    score = dict.fromkeys(names, 1.0)
+def rank_scores(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, config: Config = DEFAULT) -> np.ndarray:
+    """TextRank to convergence of nodes 0 to n - 1 over edges (a, b, w), summed in their order, so that scores are the same each time.
+
+    Edges of a negative end, loops and those without weight don't count.
+    """
+    good = (w > 0) & (a != b) & (a >= 0) & (b >= 0)
+    ends = np.column_stack((a[good], b[good])).astype(np.int64)
+    src, dst, w = ends.ravel(), ends[:, ::-1].ravel(), np.repeat(w[good], 2)
+    share, score = w / np.bincount(src, w, n)[src], np.ones(n)
     for _ in range(config.max_iterations):
-        new = {n: 1 - config.damping + config.damping * sum(w / out[m] * score[m] for m, w in links[n]) for n in names}
-        moved = sum(abs(new[n] - score[n]) for n in names)
-        score = new
+        new = 1 - config.damping + config.damping * np.bincount(dst, share * score[src], n)
+        moved, score = np.abs(new - score).sum(), new
         if moved < config.epsilon:
             break
     return score
 
 
+def rank_graph(names: list, edges: list[tuple], config: Config = DEFAULT) -> dict:
+    """rank_scores of named nodes and (a, b, w) edges."""
+    place = {x: i for i, x in enumerate(names)}
+    a, b = (np.array([place.get(e[k], -1) for e in edges], np.int64) for k in (0, 1))
+    return dict(zip(names, rank_scores(len(names), a, b, np.array([e[2] for e in edges], float), config).tolist(), strict=True))
+
+
 def gathered(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     """One row a meeting with all of its rows as an array of structs, in order."""
     return rows.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
@@ -88,16 +105,17 @@ def textrank(edges: DataFrame, nodes: DataFrame, config: Config = DEFAULT) -> Da
     """meeting_id, node, score to convergence, one meeting's graph at a time."""
     each = gathered(nodes, "nodes", "node").join(gathered(edges, "edges", "src", "dst", "w"), "meeting_id", "left")
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for m, names, links in zip(b["meeting_id"], b["nodes"], b["edges"]):
-                score = rank_graph([n["node"] for n in names], [] if links is None else [(e["src"], e["dst"], e["w"]) for e in links], config)
-                out += [(m, n, x) for n, x in score.items()]
-            yield pd.DataFrame(out, columns=["meeting_id", "node", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, links = batch.column("nodes")[i].values.field("node"), batch.column("edges")[i].values
+                a, b, w = (links.field(c) for c in ("src", "dst", "w")) if links is not None else (names[:0], names[:0], pa.array([], pa.float64()))
+                a, b = (np.asarray(pc.fill_null(pc.index_in(x, value_set=names), -1)) for x in (a, b))
+                meeting = batch.column("meeting_id").take(pa.array(np.full(len(names), i)))
+                yield pa.RecordBatch.from_arrays([meeting, names, pa.array(rank_scores(len(names), a, b, np.asarray(w), config))], ["meeting_id", "node", "score"])
 
     schema = f"meeting_id {nodes.schema['meeting_id'].dataType.simpleString()}, node {nodes.schema['node'].dataType.simpleString()}, score double"
-    return each.mapInPandas(run, schema)
+    return each.mapInArrow(run, schema)
 
 
 def min_max(rows: DataFrame, value: str, key: str = "meeting_id") -> DataFrame:
