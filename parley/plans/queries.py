@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -45,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to `places` decimals as the SQL rounds: what is scaled and rounded is the double, not its shortest decimals, which may lie below a tie that the double meets."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
     speaker = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
@@ -338,7 +343,7 @@ def hysteresis_segments(spark, sf_dir):
     ev = events(spark, sf_dir)
     rows = ev.join(tl.percentile_threshold(ev, "meeting_id", "value"), "meeting_id").withColumn("cand", F.col("value") > F.col("threshold"))
     rows = tl.hysteresis(rows, "meeting_id", "frame_idx", "cand", 2, 3).withColumn("rms_db", F.col("value"))
-    return tl.frame_segments(rows).select("meeting_id", "seg_idx", "start_ms", "end_ms", F.round("energy_db", 6).alias("energy_db"))
+    return tl.frame_segments(rows).select("meeting_id", "seg_idx", "start_ms", "end_ms", rounded(F.col("energy_db"), 6).alias("energy_db"))
 
 
 @query(f"""WITH {EVENTS}, i AS (SELECT meeting_id, frame_idx, value, frame_idx + 1 AS i FROM ev) SELECT meeting_id, frame_idx,
