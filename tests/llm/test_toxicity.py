@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,23 @@ def test_very_long_texts(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).where("doc_id >= 1000").collect()}
     assert got[1000] > 0.5 > got[1001]
+
+
+def test_the_driver_holds_the_sample_as_arrays(spark, monkeypatch):
+    """Terms reach the driver as 4 bytes each; as Python numbers they took ten times that."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(150))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    seen = []
+
+    def train(rows):
+        seen.append((sum(len(at) for _, at in rows), tracemalloc.get_traced_memory()[1]))
+        return toxicity.Model(np.full(2 * toxicity.BUCKETS, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, toxicity.FACTORS)))
+
+    monkeypatch.setattr(toxicity, "train", train)
+    tracemalloc.start()
+    toxicity.fit(docs, labels)
+    tracemalloc.stop()
+    terms, peak = seen[0]
+    assert terms > 150_000 and peak < 16 * terms
