@@ -27,8 +27,8 @@ from .simhash import links, majority
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Bytes of text for each counter of the sketch, about a word; most counters, as a power of 2: 64 MB of levels, which all tasks get.
 WORD_SIZE, MOST_BITS = 8, 27
-#: Counters that travel together, as a power of 2; shingles that a task counts before it sends them.
-BLOCK_BITS, COUNTED = 18, 1 << 21
+#: Counters that travel together, as a power of 2; shingles that a task counts before it sends them; blocks that leave at once.
+BLOCK_BITS, COUNTED, SENT = 18, 1 << 21, 64
 #: Counts, or multiples of the mean count, at which the levels 2 to 15 begin.
 STEPS = np.array([3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 1024])
 #: Texts that a task remembers, so as to send each of them once; values that it holds before it sends them.
@@ -66,22 +66,23 @@ def gather(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+def node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """The node and the shingle set of each text of batches (node, text), once a task."""
+    powers, seen = Powers(int(ODD[0])), set()
+    for b in batches:
+        for node, t in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
+            if node in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
+            yield node, shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", powers)
+
+
 def sets_of(texts: DataFrame, schema: str, shape) -> DataFrame:
     """The rows of schema that shape(node, shingle set) makes of each text of texts (node, text), once a task."""
     names = [f.split()[0] for f in schema.split(",")]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        powers, seen = Powers(int(ODD[0])), set()
-        for b in batches:
-            for node, t in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
-                if node in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                yield shape(node, shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", powers))
-
-    return texts.select("node", "text").mapInArrow(lambda batches: gathered(each(batches), names), schema)
+    return texts.select("node", "text").mapInArrow(lambda batches: gathered((shape(*x) for x in node_sets(batches)), names), schema)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -103,6 +104,37 @@ def levels(n: np.ndarray) -> np.ndarray:
     return np.where(n < 2, 0, 1 + np.searchsorted(STEPS, n / max(1.0, float(n.mean())), side="right")).astype(np.uint8)
 
 
+def counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """block, gaps, n: the counters of 2 ** bits that the shingles of batches (node, text) touch, and how often.
+
+    Sets are made and counted in one process, by 4 bytes a shingle, and blocks leave a few at a time.
+    """
+    held, size = [], 0
+    for _, s in node_sets(batches):
+        held.append(counters(s, bits).astype(np.uint32))
+        size += len(s)
+        if size >= COUNTED:
+            yield from touched(held)
+            size = 0
+    yield from touched(held)
+
+
+def touched(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The batches of counted, of lists of counters, which it empties."""
+    if not held:
+        return
+    at = np.concatenate(held)
+    held.clear()
+    at.sort()
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).astype(np.uint32)
+    n = np.diff(first, append=np.uint32(len(at)))
+    at = at[first]
+    cuts = [0, *(np.flatnonzero(np.diff(at >> BLOCK_BITS)) + 1).tolist(), len(at)]
+    for i in range(0, len(cuts) - 1, SENT):
+        rows = [(int(at[x] >> BLOCK_BITS), planes(np.diff(at[x:y], prepend=at[x] >> BLOCK_BITS << BLOCK_BITS)), planes(n[x:y])) for x, y in zip(cuts[i : i + SENT], cuts[i + 1 : i + 1 + SENT])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "gaps", "n"])
+
+
 def commonness(texts: DataFrame) -> tuple[int, np.ndarray]:
     """Bits of a counter's place, and the levels of all counters, two a byte, of the shingles of all texts (node, text).
 
@@ -111,26 +143,6 @@ def commonness(texts: DataFrame) -> tuple[int, np.ndarray]:
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(BLOCK_BITS, (size // WORD_SIZE).bit_length()))
-    sets = sets_of(texts, "h long", lambda node, s: (s.view(np.int64),))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(np.asarray(b.column(0)))
-            size += len(held[-1])
-            if size >= COUNTED:
-                yield from send(held)
-                held, size = [], 0
-        yield from send(held)
-
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not sum(map(len, held)):
-            return
-        at, n = np.unique(counters(np.concatenate(held).view(np.uint64), bits), return_counts=True)
-        cuts = np.flatnonzero(np.diff(at >> BLOCK_BITS)) + 1
-        rows = [(int(x[0] >> BLOCK_BITS), planes(np.diff(x, prepend=x[0] >> BLOCK_BITS << BLOCK_BITS)), planes(y)) for x, y in zip(np.split(at, cuts), np.split(n, cuts), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "gaps", "n"])
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
@@ -141,7 +153,7 @@ def commonness(texts: DataFrame) -> tuple[int, np.ndarray]:
             level = levels(own)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], ["block", "levels"])
 
-    sent = sets.mapInArrow(count, "block int, gaps binary, n binary")
+    sent = texts.select("node", "text").mapInArrow(lambda batches: counted(batches, bits), "block int, gaps binary, n binary")
     merged = sent.repartition(shuffle_partitions(texts.sparkSession), "block").mapInArrow(merge, "block int, levels binary")
     out, width = np.zeros(1 << (bits - 1), np.uint8), 1 << (BLOCK_BITS - 1)
     for r in merged.toLocalIterator():

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from parley.llm import nearcopies
 from test_simhash import TEXTS, brute_fingerprint
@@ -84,3 +86,31 @@ def test_ids_that_repeat_and_columns_that_clash(spark):
     got = sorted(tuple(r)[:3] for r in nearcopies.first_copies(docs).where("doc_id is not null").collect())
     assert got == [(1, "a b c d e f", "x"), (1, "g h i j k l", "x"), (1, "m n o p q r", "y"), (2, None, "e")]
     assert [tuple(r) for r in nearcopies.first_copies(docs).where("doc_id is null").collect()] == [(None, "s t u v w x", *"zzzzz")]
+
+
+def test_counting_shingles_needs_little_memory_and_loses_none():
+    """A task counts by 4 bytes a shingle and sends blocks a few at a time; counts are those of all its distinct texts."""
+    texts = [" ".join(f"{i} {j}" for j in range(20_000)) for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"node": list(range(len(texts))) + [0], "text": texts + texts[:1]})
+    tracemalloc.start()
+    total, most = 0, 0
+    for b in nearcopies.counted(iter([batch]), nearcopies.MOST_BITS):
+        total += sum(int(nearcopies.unplaned(n).sum()) for n in b.column("n").to_pylist())
+        most = max(most, b.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    powers = nearcopies.Powers(int(nearcopies.ODD[0]))
+    assert total == sum(len(nearcopies.shingle_set(t.encode(), powers)) for t in texts) > nearcopies.COUNTED
+    assert most <= nearcopies.SENT and peak < 100e6
+
+
+def test_texts_are_cut_and_counted_in_one_process(spark):
+    """Two Python steps in a row are two processes a task, each with its own memory."""
+    plans = []
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i}") for i in range(9)], "node long, text string")
+    seen = type(docs).repartition
+    keep = lambda self, *a: plans.append(self._jdf.queryExecution().executedPlan().toString()) or seen(self, *a)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "repartition", keep)
+        nearcopies.commonness(docs)
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 1
