@@ -33,6 +33,8 @@ BLOCK_BITS, COUNTED, SENT = 18, 1 << 21, 64
 STEPS = np.array([3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 1024])
 #: Texts that a task remembers, so as to send each of them once; values that it holds before it sends them.
 SEEN, HELD = 1 << 18, 1 << 17
+#: Pairs of a bucket that a text is in at first, and how many times more each time that this leaves some out.
+PAIRS, GROWTH = 2, 4
 #: Bits of a set's parities, as a power of 2.
 PLACES = 10
 
@@ -213,30 +215,46 @@ def shared_prefixes(texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, n int, node long, before long")
 
 
-def apart(shared: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the nodes that share a row of `shared`, are in no component together so far and may be similar by size and parities."""
+def some_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    """Columns a, b of pairs of nodes that share a bucket (h, n, node, root, bits), have different roots and may be similar by size and parities.
+
+    A row is in some `most` pairs of its bucket, so those of other roots than the commonest bound their number. Where that
+    leaves pairs out, or may, the bucket's h is given once, as a pair of h and itself.
+    """
+    for h, n, node, root, own in buckets(batches):
+        n, x, step = n.astype(np.int64), np.arange(len(h)), 0
+        pairs, full = np.zeros(len(h), np.int32), []
+        while len(x):  # each row with the one `step` below; sizes ascend, so a row that is done stays so
+            step += 1
+            x = x[x + step < len(h)]
+            x = x[(h[x] == h[x + step]) & (DEN * n[x] >= NUM * n[x + step])]
+            done = pairs[x] >= most
+            full.append(np.unique(h[x[done]]))
+            x = x[~done]
+            for at in range(0, len(x), HELD):
+                i = x[at : at + HELD]
+                i = i[root[i] != root[i + step]]
+                differ = np.bitwise_count((own[i] ^ own[i + step]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                i = i[(DEN + NUM) * differ <= (DEN - NUM) * (n[i] + n[i + step])]
+                done = (pairs[i] >= most) | (pairs[i + step] >= most)
+                full.append(np.unique(h[i[done]]))
+                i = i[~done]
+                if len(i):
+                    pairs[i] += 1
+                    pairs[i + step] += 1
+                    yield np.minimum(node[i], node[i + step]), np.maximum(node[i], node[i + step])
+        if full and len(full := np.unique(np.concatenate(full))):
+            yield full, full
+
+
+def apart(shared: DataFrame, roots: DataFrame, bits: DataFrame, most: int) -> DataFrame:
+    """some_pairs of the nodes that share a row of `shared`, are in no component together so far and may be similar."""
     spark = shared.sparkSession
     rows = shared.join(roots, "node", "left").select("h", "n", "node", F.coalesce("root", "node").alias("root"))
     several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     rows = rows.join(several, "h").join(bits.select("node", "bits"), "node").select("h", "n", "node", "root", "bits")
     rows = rows.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "n", "node")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for h, n, node, root, own in buckets(batches):
-            n, x, step = n.astype(np.int64), np.arange(len(h)), 0
-            while len(x):  # each row with the one `step` below; sizes ascend, so a row that is done stays so
-                step += 1
-                x = x[x + step < len(h)]
-                x = x[(h[x] == h[x + step]) & (DEN * n[x] >= NUM * n[x + step])]
-                for at in range(0, len(x), HELD):
-                    i = x[at : at + HELD]
-                    i = i[root[i] != root[i + step]]
-                    differ = np.bitwise_count((own[i] ^ own[i + step]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    i = i[(DEN + NUM) * differ <= (DEN - NUM) * (n[i] + n[i + step])]
-                    if len(i):
-                        yield np.minimum(node[i], node[i + step]), np.maximum(node[i], node[i + step])
-
-    return rows.mapInArrow(lambda batches: gathered(pairs(batches), ["a", "b"]), "a long, b long").distinct()
+    return rows.mapInArrow(lambda batches: gathered(some_pairs(batches, most), ["a", "b"]), "a long, b long").distinct()
 
 
 def parities(s: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -279,8 +297,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """node, root of each distinct text of docs (text) that has a near copy; root is the least node that links reach.
 
     Links join sets of 5-word shingles with a Jaccard similarity of 0.8 or more; none is missed. What SimHash links,
-    and neighbours in size, are compared first, and then only pairs that are not joined yet: a dense group never
-    meets all pairs.
+    and neighbours in size, are compared first, and then only pairs that are not joined yet, a few of each text at a time,
+    until no bucket has others left: a dense group is soon joined and never meets all pairs.
     """
     texts = docs.select(text_node(F.col("text")).alias("node"), "text")
     shared = stage(shared_prefixes(texts))
@@ -294,8 +312,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     beside = shared.where("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
     tried = stage(alike.union(close).union(beside).distinct())
     edges = similar(may_be_similar(stage(may_be_similar(tried, bits)), fine), texts)
-    rest = apart(shared, components(edges), bits).join(tried, ["a", "b"], "left_anti")
-    return components(edges.union(similar(may_be_similar(stage(rest), fine), texts)))
+    roots, most, more = stage(components(edges)), PAIRS, True
+    while more:
+        found = stage(apart(shared, roots, bits, most))
+        pairs = stage(found.where("a < b").join(tried, ["a", "b"], "left_anti"))
+        new = similar(may_be_similar(pairs, fine), texts)
+        if not new.isEmpty():
+            edges = stage(edges.union(new))
+            roots = stage(components(edges))
+        left = found.where("a = b").select(F.col("a").alias("h"))
+        if more := not left.isEmpty():
+            shared, tried, most = stage(shared.join(left, "h", "left_semi")), stage(tried.union(pairs)), GROWTH * most
+    return roots
 
 
 def first_copies(docs: DataFrame) -> DataFrame:

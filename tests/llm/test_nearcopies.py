@@ -114,3 +114,41 @@ def test_texts_are_cut_and_counted_in_one_process(spark):
         patch.setattr(type(docs), "repartition", keep)
         nearcopies.commonness(docs)
     assert len(plans) == 1 and plans[0].count("MapInArrow") == 1
+
+
+def test_pairs_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    """Many texts are near copies of a tenth of their group and of no others, so that neighbours rarely are."""
+    rng, size = random.Random(7), 600
+    texts = []
+    for i in range(size):
+        own = [f"w{j}" for j in range(199)] + [f"last{i}"]
+        for at in rng.sample(range(5, 190, 5), 4 if i % 10 else 0):
+            own[at] = f"edit{i}at{at}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, plain = [], type(docs).mapInArrow
+
+    def kept(self, func, schema, *more):
+        out = plain(self, func, schema, *more)
+        if schema == "a long, b long" and "root" in self.columns:
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", kept)
+    got = sorted(r.doc_id for r in nearcopies.first_copies(docs).collect())
+    assert got == sorted(set(brute_roots(texts)))
+    sets = [shingled(t) for t in texts]
+    close = sum(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert close > 30_000 and 0 < sum(m.count() for m in made) < 50 * size
+
+
+def test_pairs_that_a_round_leaves_out_are_told():
+    """Of each bucket a row is in few pairs; buckets with pairs left over are named, until all pairs came."""
+    rows = {"h": [1] * 30 + [2] * 2, "n": [20] * 32, "node": list(range(32)), "root": list(range(30)) + [5, 6], "bits": [[0] * 16] * 32}
+    batch = pa.RecordBatch.from_pydict(rows, pa.schema([("h", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("bits", pa.list_(pa.int64()))]))
+    for most in (2, 8, 32):
+        pairs = [p for a, b in nearcopies.some_pairs(iter([batch]), most) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        told, pairs = [a for a, b in pairs if a == b], [p for p in pairs if p[0] < p[1]]
+        assert (30, 31) in pairs and len(pairs) == len(set(pairs))
+        assert told == ([] if most == 32 else [1])
+        assert len(pairs) == 1 + 30 * 29 // 2 if most == 32 else len(pairs) <= 30 * (most + 1) // 2 + 1
